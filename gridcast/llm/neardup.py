@@ -10,7 +10,8 @@ edge from each member to the bucket's least member is enough to connect them,
 and a bucket costs what it holds, whatever its size.  Candidates are verified
 on the distance of all ``TABLES * BITS`` bits.
 
-Texts are read once; what is shuffled is fixed-size numbers.
+Texts are read once; what is shuffled is fixed-size numbers.  Variants are routed
+by ``ROUTE`` of their bits, so those that leave these bits alone travel as one row.
 """
 
 from __future__ import annotations
@@ -29,7 +30,10 @@ from .textarrays import Words, column_of, slices
 TABLES, BITS, HALF = 8, 40, 1
 #: Of TABLES * BITS bits; 64 of 320 is an angle of 0.63, a cosine of 0.81 between word sets.
 MAX_DISTANCE = 64
+#: Bits that decide which partition a variant goes to: 2**ROUTE * TABLES routes.
+ROUTE = 12
 _DIM = 4096
+_WHOLE = 1 << 48  # marks a fingerprint that stands for all its variants on one route
 
 
 @lru_cache(1)
@@ -67,9 +71,12 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges from each member of a bucket to its least member; a partition holds whole buckets."""
     keys, nodes = [], []
+    flips = np.array([0] + [1 << k for k in range(ROUTE, BITS)], np.int64)
     for batch in batches:
-        keys.append(column_of(batch, "key").to_numpy())
-        nodes.append(column_of(batch, "node").to_numpy())
+        key, node = column_of(batch, "key").to_numpy(), column_of(batch, "node").to_numpy()
+        whole = (key & _WHOLE) > 0
+        keys += [key[~whole], ((key[whole] ^ _WHOLE)[:, None] ^ flips).ravel()]
+        nodes += [node[~whole], np.repeat(node[whole], len(flips))]
     if not keys:
         return
     key, node = np.concatenate(keys), np.concatenate(nodes)
@@ -93,11 +100,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_edges(sketches: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """Verified edges (a, b, distance) between ``sketches(node, fp)``."""
-    masks = [0] + [1 << k for k in range(BITS)]
+    masks = [_WHOLE] + [1 << k for k in range(ROUTE)]
+    fingerprint = F.col("fp") + F.shiftleft(F.col("table").cast("long"), BITS)
     variants = (
         sketches.select("node", F.posexplode("fp").alias("table", "fp"))
-        .select("node", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(m).cast("long")) + F.col("table").cast("long") * F.lit(1 << BITS).cast("long") for m in masks])).alias("key"))
-        .repartition("key")
+        .select("node", F.explode(F.array(*[fingerprint.bitwiseXOR(F.lit(m).cast("long")) for m in masks])).alias("key"))
+        .repartition(F.col("key").bitwiseAND(F.lit(((1 << ROUTE) - 1) | ((TABLES - 1) << BITS)).cast("long")))
     )
     pairs = variants.mapInArrow(_meet, "a long, b long").distinct()
     left = sketches.select(F.col("node").alias("a"), F.col("fp").alias("fa"))
