@@ -1,4 +1,4 @@
-"""Cleaning a corpus from documents to packed training sequences, stage by stage."""
+"""Cleaning a corpus, from documents to packed training sequences, stage by stage."""
 
 from __future__ import annotations
 
@@ -7,20 +7,44 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridcast.llm import neardup
+from gridcast.llm import decontam, language_id, line_dedup, neardup, packing
 from gridcast.llm.common import shared_folder, table
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in no known language go."""
+    return language_id.drop_rejected(docs)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated runs of lines are deleted, and documents of which nothing is left."""
+    return line_dedup.delete_repeats(docs)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
     return neardup.drop_near_duplicates(docs)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return decontam.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where in which training sequence each piece of each document lies."""
+    return packing.pack(docs)
+
+
 STAGES = [
-    ("near_dedup", near_dedup),
+    ("language_id", identify_languages),
+    ("line_dedup", dedup_lines),
+    ("near_dedup", dedup_documents),
+    ("decontamination", decontaminate),
+    ("packing", pack_sequences),
 ]
 
-#: No stage can be put in SQL; tests hold each against a brute-force version.
+#: SQL can't put the stages; tests hold each against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -79,13 +79,13 @@ def _views(column: pa.Array) -> list[memoryview]:
     return [view[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
 
 
-def calibrate(x: np.ndarray, good: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic regression of ``good`` on x, classes weighed alike, by Newton's method."""
+def calibrate(x: np.ndarray, good: np.ndarray, prior: float = 0.5) -> tuple[float, float]:
+    """Slope and offset of the logistic regression of ``good`` on x, classes weighed by ``prior``, by Newton's method."""
     if not len(x) or good.all() or not good.any():
         return 0.0, 0.0
     scale = x.std() or 1.0
     design = np.stack([x / scale, np.ones(len(x))], 1)
-    weight = np.where(good, 0.5 / good.sum(), 0.5 / (~good).sum()) * len(x)
+    weight = np.where(good, prior / good.sum(), (1 - prior) / (~good).sum()) * len(x)
     w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
@@ -114,7 +114,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     size = min(DICTIONARY_BYTES, *(max(256, sum(map(len, fit[v])) // 4) for v in fit))
     good, bad = _dictionary(fit[1], size), _dictionary(fit[0], size)
     x = differences([memoryview(t) for v in (0, 1) for t in held[v]], _packers(good, bad))
-    slope, offset = calibrate(x, np.repeat([False, True], [len(held[0]), len(held[1])]))
+    share = marks.agg(F.avg("good")).first()[0]  # of good texts among all labels
+    slope, offset = calibrate(x, np.repeat([False, True], [len(held[0]), len(held[1])]), share)
     return Model(good, bad, slope, offset)
 
 

@@ -8,6 +8,8 @@ owner looks live.  A *repository* is the value of the source column, its
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +32,14 @@ PATTERNS = [
 PLACEHOLDER_RE = r"(?i)example|sample|dummy|placeholder|changeme|your|xxxx|1234567|abcdef|^(?:0+|a+|x+)$"
 
 
+def _named(kind: str) -> Callable[[Column], Column]:
+    return lambda secret: F.struct(F.lit(kind).alias("kind"), secret.alias("secret"))
+
+
 def _candidates(text: Column) -> Column:
     found = []
     for kind, literal, pattern in PATTERNS:
-        hits = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda s, kind=kind: F.struct(F.lit(kind).alias("kind"), s.alias("secret")))
+        hits = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), _named(kind))
         found.append(F.when(F.contains(text, F.lit(literal)), hits).otherwise(F.array().cast("array<struct<kind:string,secret:string>>")) if literal else hits)
     return F.concat(*found)
 

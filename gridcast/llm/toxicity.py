@@ -30,8 +30,8 @@ Z = 1.64
 DRIFT = 1.0
 #: Largest probability under clean text at which a passage, and a document, is significant.
 ALPHA = 1e-3
-#: A word must occur so often in the toxic sample to score above 0.
-MIN_COUNT = 2
+#: A word must occur in so many toxic texts of the sample to score above 0.
+MIN_COUNT = 3
 
 
 @dataclass(frozen=True)
@@ -102,7 +102,11 @@ def document_p(scores: list[float], words: int, model: Model) -> float:
 
 
 def _count_words(value: np.ndarray | None) -> Callable:
-    """Counts of the words in ``value`` (all, if None) by group; hash 0 stands for their total."""
+    """In how many texts of each group each word of ``value`` (all, if None) occurs; hash 0 stands for the total.
+
+    A word counts once a text, or one long text that harps on a name would
+    outweigh many.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if value is None else np.zeros((2, len(value) + 1), np.int64)
@@ -110,16 +114,20 @@ def _count_words(value: np.ndarray | None) -> Callable:
             text, group = column_of(batch, "text"), column_of(batch, "toxic").to_numpy()
             for a, b in slices(text):
                 words = Words(text.slice(a, b - a))
-                mine = group[a:b][words.row]
+                order = np.lexsort((words.hash, words.row))
+                h, row = words.hash[order], words.row[order]
+                once = np.ones(len(h), bool)
+                once[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+                h, mine = h[once], group[a:b][row[once]]
                 for g in (0, 1):
-                    h = words.hash[mine == g]
+                    part = h[mine == g]
                     if known is None:
-                        some, n = np.unique(h, return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some) + 1, g, np.int32)), pa.array(np.append(some.view(np.int64), 0)), pa.array(np.append(n, len(h)).astype(np.int64))], ["toxic", "word", "n"])
-                    elif len(h):
-                        at = np.minimum(np.searchsorted(value, h), len(value) - 1)
-                        known[g, :-1] += np.bincount(at[value[at] == h], minlength=len(value))
-                        known[g, -1] += len(h)
+                        some, n = np.unique(part, return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some) + 1, g, np.int32)), pa.array(np.append(some.view(np.int64), 0)), pa.array(np.append(n, len(part)).astype(np.int64))], ["toxic", "word", "n"])
+                    elif len(part):
+                        at = np.minimum(np.searchsorted(value, part), len(value) - 1)
+                        known[g, :-1] += np.bincount(at[value[at] == part], minlength=len(value))
+                        known[g, -1] += len(part)
         if known is not None:
             for g in (0, 1):
                 some = np.flatnonzero(known[g])
