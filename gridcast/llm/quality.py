@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from .textarrays import column_of, utf8
 
 #: Labelled texts of each class that are taken for training; half make the dictionary, half calibrate.
-SAMPLE = 1200
-DICTIONARY_BYTES = 65_536
+SAMPLE = 2400
+DICTIONARY_BYTES = 262_144
 BLOCK = 4096
-LEVEL = 1
+LEVEL = 3
 #: Least calibrated probability of a good text.
 THRESHOLD = 0.5
 

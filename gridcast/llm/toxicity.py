@@ -8,7 +8,7 @@ segments of a text.  Under clean text the best score of m words has
 extreme-value tails, P(S >= x) = 1 - exp(-K m exp(-lambda x)) (Karlin and
 Altschul): lambda comes from the score distribution of clean text and K from
 clean labelled texts that no score was made of.  A document's segments are
-aggregated by the Poisson tails of their ranks.
+aggregated by the Poisson tails of their ranks, equal segments counting once.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ PRIOR_SHARE = 0.1
 Z = 1.64
 DRIFT = 1.0
 #: Largest probability under clean text at which a passage, and a document, is significant.
-ALPHA = 1e-3
+ALPHA = 1e-4
 #: A word must occur in so many toxic texts of the sample to score above 0.
 MIN_COUNT = 3
 
@@ -45,10 +45,13 @@ class Model:
 
 
 def word_scores(words: Words, model: Model) -> np.ndarray:
+    """The score of each word; a word that repeats the one before it scores once."""
     if not len(model.value):
         return np.full(len(words), -DRIFT)
     at = np.minimum(np.searchsorted(model.value, words.hash), len(model.value) - 1)
-    return np.where(model.value[at] == words.hash, model.score[at], 0.0) - DRIFT
+    score = np.where(model.value[at] == words.hash, model.score[at], 0.0)
+    score[1:][words.hash[1:] == words.hash[:-1]] = 0.0
+    return score - DRIFT
 
 
 def maximal_segments(score: np.ndarray) -> list[tuple[int, int, float]]:
@@ -227,7 +230,9 @@ def _find(model: Model, alpha: float) -> Callable:
                 for i in np.unique(words.row[score > 0]).tolist():
                     low, high = int(words.first[i]), int(words.first[i + 1])
                     found = maximal_segments(score[low:high])
-                    p = document_p([s for _, _, s in found], high - low, model)
+                    # the same words again say nothing new: text that repeats itself isn't independent
+                    distinct = {words.hash[low + s : low + e].tobytes(): x for s, e, x in found}
+                    p = document_p(list(distinct.values()), high - low, model)
                     if p > alpha:
                         continue
                     each = [(s, e, round(x, 4), tail(model.scale * (high - low) * np.exp(-model.rate * x), 1)) for s, e, x in found]
