@@ -6,9 +6,10 @@ some stretch of the document is within ``tolerance(n)`` word edits
 
 1. Every word position of every document starts a window for each size class
    of items.  A window within k edits of an item of n words shares at least
-   n - 2 - 3k word trigrams with it, so windows with fewer trigrams known to
-   any item are dropped.  The trigrams sit in a bit map of fixed size; a false
-   bit only keeps a window.
+   n - 2 - 3k word trigrams with it, so windows with fewer trigrams known to an
+   item of the class are dropped.  So are windows that start more than 4k words
+   before the first of these: k edits spare one of any 3k + 1 trigrams.  Known trigrams sit in
+   a bit map of fixed size, alone and with their class; a false bit only keeps a window.
 2. A window and an item are embedded by the CGK random walk: at each step the
    current word is put out, and a random function of step and word says
    whether to advance.  Small edit distance becomes small Hamming distance.
@@ -58,10 +59,17 @@ def _noise(walk: int, n: int) -> np.ndarray:
     return mix64(np.arange(n, dtype=np.uint64) + np.uint64((walk + 1) << 40))
 
 
+def _bits(trigram: np.ndarray, klass: int | None = None) -> np.ndarray:
+    """Places of trigrams in the bit map, alone or as those of a class."""
+    if klass is not None:
+        trigram = mix64(trigram + np.uint64(klass + 1))
+    return (trigram >> np.uint64(64 - _MAP_BITS)).astype(np.int64)
+
+
 def cgk_keys(words: np.ndarray, length: int, klass: int) -> np.ndarray:
     """WALKS * BANDS keys for each row of words (uint32, its first ``length`` columns; 0 is the end)."""
     n, steps = len(words), 2 * length
-    out = np.empty((n, WALKS * BANDS), np.int64)
+    out = np.empty((n, WALKS * BANDS), np.int32)
     rows = np.arange(n)
     padded = np.concatenate([words[:, :length], np.zeros((n, 1), words.dtype)], 1)
     for walk in range(WALKS):
@@ -72,13 +80,12 @@ def cgk_keys(words: np.ndarray, length: int, klass: int) -> np.ndarray:
             word = padded[rows, at].astype(np.uint64)
             put[step] = word
             at += ((mix64(word ^ noise[step]) & np.uint64(1)) > 0) & (at < length)
-        # A walk passes about half a word a step: later steps see the end only
         random = np.random.default_rng(1000 * klass + walk)
         for band in range(BANDS):
             key = np.full(n, (klass * WALKS + walk) * BANDS + band, np.uint64)
             for step in random.choice(steps, SAMPLES, replace=False):
                 key = mix64(key * np.uint64(0x100000001B3) + put[step])
-            out[:, walk * BANDS + band] = key.view(np.int64)
+            out[:, walk * BANDS + band] = _fold(key)
     return out
 
 
@@ -96,9 +103,9 @@ def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 klass = int(_class_of(len(h)))
                 trigrams, _ = windows_of(h, np.array([0, len(h)]), 3)
                 keys = cgk_keys(_fold(h).view(np.uint32)[None, :], min(_CLASSES[klass], len(h)), klass)
-                out.append({"item_id": item, "klass": klass, "item": _fold(h).tolist(), "grams": np.unique(trigrams >> np.uint64(64 - _MAP_BITS)).astype(np.int64).tolist(), "keys": np.unique(keys).tolist()})
+                out.append({"item_id": item, "klass": klass, "item": _fold(h).tolist(), "grams": np.unique(np.concatenate([_bits(trigrams), _bits(trigrams, klass)])).tolist(), "keys": np.unique(keys).tolist()})
             if out:
-                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("item_id", pa.int64()), ("klass", pa.int32()), ("item", pa.list_(pa.int32())), ("grams", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))]))
+                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("item_id", pa.int64()), ("klass", pa.int32()), ("item", pa.list_(pa.int32())), ("grams", pa.list_(pa.int64())), ("keys", pa.list_(pa.int32()))]))
 
 
 def _window_rows(bitmap: bytes, classes: list[int], share: float) -> Callable:
@@ -109,21 +116,31 @@ def _window_rows(bitmap: bytes, classes: list[int], share: float) -> Callable:
             for a, b in slices(text):
                 words = Words(text.slice(a, b - a))
                 trigram, index = windows_of(words.hash, words.first, 3)
-                hit = np.zeros(len(words) + 1, np.int32)
-                hit[1:][index] = known[(trigram >> np.uint64(64 - _MAP_BITS)).astype(np.int64)]
-                if not hit.any():
+                met = known[_bits(trigram)] > 0
+                trigram, index = trigram[met], index[met]
+                if not len(index):
                     continue
-                total = np.cumsum(hit)
                 folded = np.concatenate([_fold(words.hash).view(np.uint32), np.zeros(1, np.uint32)])
                 last = words.first[1:][words.row]  # the end of each word's document
                 for klass in classes:
                     low, high = _CLASSES[klass], _CLASSES[klass + 1] - 1
                     sizes = np.arange(low, high + 1)
-                    need = int((sizes - 2 - 3 * tolerance(sizes, share)).min())
-                    reach = int(high + tolerance(high, share))
-                    end = np.minimum(np.arange(len(words)) + reach, last)
-                    # trigrams start two words before the end at the latest
-                    start = np.flatnonzero(total[np.maximum(end - 2, np.arange(len(words)))] - total[: len(words)] >= max(1, need))
+                    need = max(1, int((sizes - 2 - 3 * tolerance(sizes, share)).min()))
+                    edits = int(tolerance(high, share))
+                    reach = high + edits
+                    hits = index[known[_bits(trigram, klass)] > 0]
+                    if len(hits) < need:
+                        continue
+                    # need hits from hits[j] on lie in the window of each start from reach before the last of them up to hits[j]
+                    end = hits[need - 1 :]
+                    begin = hits[: len(end)]
+                    ok = (words.row[begin] == words.row[end]) & (end - begin <= reach - 3)
+                    begin, end = begin[ok], end[ok]
+                    since = np.maximum(np.maximum(end - reach + 3, begin - 4 * edits), words.first[words.row[begin]])
+                    mark = np.zeros(len(words) + 1, np.int32)
+                    np.add.at(mark, since, 1)
+                    np.add.at(mark, begin + 1, -1)
+                    start = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
                     for k in range(0, len(start), 4096):
                         at = start[k : k + 4096]
                         span = np.arange(reach)
@@ -212,10 +229,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     reported.  Rows repeated in either table don't repeat the result; equal
     ids with other texts give a row each.  Other columns are ignored.
     """
-    items = cut(benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long"), "text").mapInArrow(_item_rows, "item_id long, klass int, item array<int>, grams array<long>, keys array<long>").distinct())
+    items = cut(benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long"), "text").mapInArrow(_item_rows, "item_id long, klass int, item array<int>, grams array<long>, keys array<int>").distinct())
     classes = sorted(r.klass for r in items.select("klass").distinct().collect())
     used = docs.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(node_id(id_col, text_col).alias("node"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = used.mapInArrow(_window_rows(_bitmap(items), classes, TOLERANCE), "node long, doc_id long, start_word int, klass int, words array<int>, keys array<long>")
+    rows = used.mapInArrow(_window_rows(_bitmap(items), classes, TOLERANCE), "node long, doc_id long, start_word int, klass int, words array<int>, keys array<int>")
     windows = cut(rows)
     keyed = windows.select("node", "start_word", "klass", F.explode("keys").alias("key"))
     pairs = keyed.join(items.select("item_id", "klass", F.explode("keys").alias("key")), ["klass", "key"]).select("node", "start_word", "klass", "item_id").distinct()
