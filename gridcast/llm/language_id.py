@@ -27,8 +27,8 @@ BUCKET_BITS = 16
 SEGMENT = 24
 PENALTY = 2.0
 STEPS = 12
-#: A document with more of its text outside all languages is rejected.
-MAX_UND = 0.5
+#: A document with more of its text outside all languages is rejected.  In a short one an address or a number may be half of it.
+MAX_UND = 0.7
 UND = "und"
 
 _LETTER = np.zeros(256, bool)

@@ -3,7 +3,8 @@
 Words are scored by the log-odds of toxic against clean labelled texts with an
 informative Dirichlet prior, their frequency in the whole corpus, drawn
 towards 0 by ``Z`` standard deviations; every word also costs ``DRIFT``, so that text at large
-scores below 0.  A linear scan (Ruzzo and Tompa) finds all maximal scoring
+scores below 0.  A word without a score of its own, or with a lower one, gets that of its beginning, for insults
+are inflected and compounded at will.  A linear scan (Ruzzo and Tompa) finds all maximal scoring
 segments of a text.  Under clean text the best score of m words has
 extreme-value tails, P(S >= x) = 1 - exp(-K m exp(-lambda x)) (Karlin and
 Altschul): lambda comes from the score distribution of clean text and K from
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textarrays import Words, column_of, slices
+from .textarrays import Words, column_of, mix64, slices
 
 #: Labelled texts of each class that are taken for training, those of least hash of the id.
 SAMPLE = 8000
@@ -34,9 +35,27 @@ ALPHA = 1e-4
 MIN_COUNT = 3
 
 
+#: Numbers of leading bytes that stand for all longer words that begin alike.
+STEMS = (5, 7)
+
+
+def stems(words: Words) -> list[np.ndarray]:
+    """For each of STEMS, a hash of the first bytes of each word that has more; 0 for shorter words."""
+    out = []
+    for size in STEMS:
+        long = np.flatnonzero(words.end - words.start > size)
+        code = np.full(len(long), size, np.uint64)
+        for k in range(size):
+            code = (code << np.uint64(8)) | words.raw[words.start[long] + k].astype(np.uint64)
+        part = np.zeros(len(words), np.uint64)
+        part[long] = mix64(code)
+        out.append(part)
+    return out
+
+
 @dataclass(frozen=True)
 class Model:
-    """Scores of words by hash (all others score 0), before the drift, and the tails' parameters."""
+    """Scores of words and stems by hash (all others score 0), before the drift, and the tails' parameters."""
 
     value: np.ndarray
     score: np.ndarray
@@ -48,8 +67,13 @@ def word_scores(words: Words, model: Model) -> np.ndarray:
     """The score of each word; a word that repeats the one before it scores once."""
     if not len(model.value):
         return np.full(len(words), -DRIFT)
-    at = np.minimum(np.searchsorted(model.value, words.hash), len(model.value) - 1)
-    score = np.where(model.value[at] == words.hash, model.score[at], 0.0)
+
+    def of(h: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(model.value, h), len(model.value) - 1)
+        return np.where(model.value[at] == h, model.score[at], 0.0)
+
+    own = of(words.hash)
+    score = np.where(own < 0, own, np.maximum.reduce([own, *map(of, stems(words))]))
     score[1:][words.hash[1:] == words.hash[:-1]] = 0.0
     return score - DRIFT
 
@@ -105,7 +129,7 @@ def document_p(scores: list[float], words: int, model: Model) -> float:
 
 
 def _count_words(value: np.ndarray | None) -> Callable:
-    """In how many texts of each group each word of ``value`` (all, if None) occurs; hash 0 stands for the total.
+    """In how many texts of each group each word and stem of ``value`` (all, if None) occurs; hash 0 stands for the total of words.
 
     A word counts once a text, or one long text that harps on a name would
     outweigh many.
@@ -117,20 +141,23 @@ def _count_words(value: np.ndarray | None) -> Callable:
             text, group = column_of(batch, "text"), column_of(batch, "toxic").to_numpy()
             for a, b in slices(text):
                 words = Words(text.slice(a, b - a))
-                order = np.lexsort((words.hash, words.row))
-                h, row = words.hash[order], words.row[order]
+                parts = stems(words)
+                h, row = np.concatenate([words.hash, *(x[x > 0] for x in parts)]), np.concatenate([words.row, *(words.row[x > 0] for x in parts)])
+                word = np.arange(len(h)) < len(words)
+                order = np.lexsort((h, row))
+                h, row, word = h[order], row[order], word[order]
                 once = np.ones(len(h), bool)
                 once[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-                h, mine = h[once], group[a:b][row[once]]
+                h, word, mine = h[once], word[once], group[a:b][row[once]]
                 for g in (0, 1):
-                    part = h[mine == g]
+                    part, total = h[mine == g], int(word[mine == g].sum())
                     if known is None:
                         some, n = np.unique(part, return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some) + 1, g, np.int32)), pa.array(np.append(some.view(np.int64), 0)), pa.array(np.append(n, len(part)).astype(np.int64))], ["toxic", "word", "n"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some) + 1, g, np.int32)), pa.array(np.append(some.view(np.int64), 0)), pa.array(np.append(n, total).astype(np.int64))], ["toxic", "word", "n"])
                     elif len(part):
                         at = np.minimum(np.searchsorted(value, part), len(value) - 1)
                         known[g, :-1] += np.bincount(at[value[at] == part], minlength=len(value))
-                        known[g, -1] += len(part)
+                        known[g, -1] += total
         if known is not None:
             for g in (0, 1):
                 some = np.flatnonzero(known[g])
