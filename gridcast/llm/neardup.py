@@ -11,12 +11,13 @@ and a bucket costs what it holds, whatever its size.  Candidates are verified
 on the distance of all ``TABLES * BITS`` bits.
 
 Texts are read once; what is shuffled is fixed-size numbers.  Variants are routed
-by ``ROUTE`` of their bits, so those that leave these bits alone travel as one row.
+by a few of their bits, so those that leave these bits alone travel as one row; the
+number of routes grows with the documents, and has no influence on what is found.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,11 +28,11 @@ from pyspark.sql import functions as F
 from .common import components, cut, node_id
 from .textarrays import Words, column_of, slices
 
-TABLES, BITS, HALF = 8, 40, 1
-#: Of TABLES * BITS bits; 64 of 320 is an angle of 0.63, a cosine of 0.81 between word sets.
-MAX_DISTANCE = 64
-#: Bits that decide which partition a variant goes to: 2**ROUTE * TABLES routes.
-ROUTE = 12
+TABLES, BITS, HALF = 12, 40, 1
+#: Of TABLES * BITS bits; a fifth is an angle of 0.63, a cosine of 0.81 between word sets.
+MAX_DISTANCE = 96
+#: Fingerprints of a table that share a route, about; a partition holds whole routes.
+PER_ROUTE = 20_000
 _DIM = 4096
 _WHOLE = 1 << 48  # marks a fingerprint that stands for all its variants on one route
 
@@ -68,46 +69,52 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _meet(route: int) -> Callable:
     """Edges from each member of a bucket to its least member; a partition holds whole buckets."""
-    keys, nodes = [], []
-    flips = np.array([0] + [1 << k for k in range(ROUTE, BITS)], np.int64)
-    for batch in batches:
-        key, node = column_of(batch, "key").to_numpy(), column_of(batch, "node").to_numpy()
-        whole = (key & _WHOLE) > 0
-        keys += [key[~whole], ((key[whole] ^ _WHOLE)[:, None] ^ flips).ravel()]
-        nodes += [node[~whole], np.repeat(node[whole], len(flips))]
-    if not keys:
-        return
-    key, node = np.concatenate(keys), np.concatenate(nodes)
-    del keys, nodes
+    flips = np.array([0] + [1 << k for k in range(route, BITS)], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, nodes = [], []
+        for batch in batches:
+            key, node = column_of(batch, "key").to_numpy(), column_of(batch, "node").to_numpy()
+            whole = (key & _WHOLE) > 0
+            keys += [key[~whole], ((key[whole] ^ _WHOLE)[:, None] ^ flips).ravel()]
+            nodes += [node[~whole], np.repeat(node[whole], len(flips))]
+        if not keys:
+            return
+        pairs = _stars(np.concatenate(keys), np.concatenate(nodes))
+        for k in range(0, len(pairs), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[k : k + 50_000, 0]), pa.array(pairs[k : k + 50_000, 1])], ["a", "b"])
+
+    return run
+
+
+def _stars(key: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """(least node of a key, another node of it), each pair once."""
     order = np.argsort(key, kind="stable")
     key = key[order]
-    run = np.concatenate([[True], key[1:] != key[:-1]])
+    run = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
     many = ~run
     many[:-1] |= ~run[1:]
-    del key
     node, run = node[order[many]], run[many]
     if not len(node):
-        return
+        return np.zeros((0, 2), np.int64)
     start = np.flatnonzero(run)
-    least = np.minimum.reduceat(node, start)
-    a = np.repeat(least, np.diff(np.append(start, len(node))))
-    pairs = np.unique(np.stack([a, node], 1)[a != node], axis=0)
-    for k in range(0, len(pairs), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[k : k + 50_000, 0]), pa.array(pairs[k : k + 50_000, 1])], ["a", "b"])
+    a = np.repeat(np.minimum.reduceat(node, start), np.diff(np.append(start, len(node))))
+    return np.unique(np.stack([a, node], 1)[a != node], axis=0)
 
 
 def near_edges(sketches: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """Verified edges (a, b, distance) between ``sketches(node, fp)``."""
-    masks = [_WHOLE] + [1 << k for k in range(ROUTE)]
+    route = min(BITS, max(8, (sketches.count() // PER_ROUTE).bit_length()))
+    masks = [_WHOLE] + [1 << k for k in range(route)]
     fingerprint = F.col("fp") + F.shiftleft(F.col("table").cast("long"), BITS)
     variants = (
         sketches.select("node", F.posexplode("fp").alias("table", "fp"))
         .select("node", F.explode(F.array(*[fingerprint.bitwiseXOR(F.lit(m).cast("long")) for m in masks])).alias("key"))
-        .repartition(F.col("key").bitwiseAND(F.lit(((1 << ROUTE) - 1) | ((TABLES - 1) << BITS)).cast("long")))
+        .repartition(F.col("key").bitwiseAND(F.lit(((1 << route) - 1) | (15 << BITS)).cast("long")))
     )
-    pairs = variants.mapInArrow(_meet, "a long, b long").distinct()
+    pairs = variants.mapInArrow(_meet(route), "a long, b long").distinct()
     left = sketches.select(F.col("node").alias("a"), F.col("fp").alias("fa"))
     right = sketches.select(F.col("node").alias("b"), F.col("fp").alias("fb"))
     apart = sum((F.bit_count(F.col("fa")[k].bitwiseXOR(F.col("fb")[k])) for k in range(1, TABLES)), F.bit_count(F.col("fa")[0].bitwiseXOR(F.col("fb")[0])))
