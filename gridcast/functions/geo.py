@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -59,15 +59,15 @@ class Grid:
 
     @staticmethod
     def of_columns(prefix: str = "") -> Grid:
-        return Grid(*(F.col(f"{prefix}{k}") for k in ("lat_start", "lon_start", "lat_step", "lon_step", "rows", "cols")))
+        return Grid(*(F.col(prefix + f.name) for f in fields(Grid)))
 
     @property
     def lat_stop(self):  # noqa: ANN201
-        return self.lat_start + (self.rows - 1) * self.lat_step
+        return (self.rows - 1) * self.lat_step + self.lat_start
 
     @property
     def lon_stop(self):  # noqa: ANN201
-        return self.lon_start + (self.cols - 1) * self.lon_step
+        return (self.cols - 1) * self.lon_step + self.lon_start
 
     def aligned(self, longitude: Column) -> Column:
         """The longitude in the grid's convention: west is 180 to 360 on a grid that passes 180."""

@@ -38,7 +38,8 @@ def row_key(*columns: Column) -> Column:
 
 
 def canonical_json(value: object) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=True)
+    compact = (",", ":")
+    return json.dumps(value, separators=compact, sort_keys=True)
 
 
 def request_key(kind: str, **parameters: object) -> str:
@@ -76,4 +77,5 @@ def valid_time(cycle: Column, lead: Column) -> Column:
 
 
 def tile_template(model: str, variable: str, level: str, lead: int) -> str:
-    return f"/v1/maps/{model}/{variable}/{level}/{{z}}/{{x}}/{{y}}.png?lead_time_hours={lead}"
+    path = "/".join(["/v1/maps", model, variable, level, "{z}", "{x}", "{y}.png"])
+    return f"{path}?lead_time_hours={lead}"

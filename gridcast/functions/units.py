@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 #: unit: (imperial unit, conversion)
 IMPERIAL: dict[str, tuple[str, Callable[[Column], Column]]] = {
-    "°C": ("°F", lambda v: v * 9 / 5 + 32),
-    "mm/h": ("in/h", lambda v: v / 25.4),
-    "km/h": ("mph", lambda v: v * 0.621371),
+    "km/h": ("mph", lambda kmh: kmh * 0.621371),
+    "mm/h": ("in/h", lambda mmh: mmh / 25.4),
+    "°C": ("°F", lambda celsius: celsius * 9 / 5 + 32),
 }
 
 #: (normalised source unit, canonical unit): conversion

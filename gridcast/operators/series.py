@@ -68,7 +68,7 @@ def point_forecast(
     return out.select(*keys, "valid_time", "cycle_time", "lead_time_hours", "variable_code", "unit", "value").orderBy(*keys, "valid_time", "variable_code")
 
 
-def resolve_location(cities: DataFrame, resorts: DataFrame, lat: float | None = None, lon: float | None = None, city_id: str | None = None, resort_id: str | None = None) -> tuple[float, float]:
+def resolve_location(cities: DataFrame, resorts: DataFrame, *, resort_id: str | None = None, city_id: str | None = None, lon: float | None = None, lat: float | None = None) -> tuple[float, float]:
     """Latitude and longitude of exactly one of: a coordinate, a city, a resort."""
     if (lat is None) != (lon is None) or sum(x is not None for x in (lat, city_id, resort_id)) != 1:
         raise InvalidInput("give a latitude and longitude, or a city, or a resort")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +31,24 @@ def pixels(spark: SparkSession, z: int, x: int, y: int) -> DataFrame:
     return cells.select("px", "py", tile_longitude(F.col("px") + x * SIZE + 0.5, z).alias("longitude"), tile_latitude(F.col("py") + y * SIZE + 0.5, z).alias("latitude"))
 
 
+def pixels_of(asked: DataFrame) -> DataFrame:
+    """``pixels`` of every row ``(z, x, y)`` of a table, in one plan; rows that are no tile drop out."""
+    world = F.expr("shiftleft(1, z)")
+    real = asked.where(F.col("z").between(0, MAX_ZOOM)).where((F.col("x") >= 0) & (F.col("x") < world) & (F.col("y") >= 0) & (F.col("y") < world)).select("z", "x", "y")
+    lines = real.select("z", "x", "y", F.explode(F.sequence(F.lit(0), F.lit(SIZE - 1))).alias("py"))
+    cells = lines.repartition("z", "x", "y", "py").select("z", "x", "y", "py", F.explode(F.sequence(F.lit(0), F.lit(SIZE - 1))).alias("px"))
+    total = SIZE * F.pow(F.lit(2.0), F.col("z"))
+    lon = (F.col("px") + F.col("x") * SIZE + 0.5) / total * 360 - 180
+    lat = F.degrees(F.atan(F.sinh(F.lit(math.pi) * (1 - 2 * (F.col("py") + F.col("y") * SIZE + 0.5) / total))))
+    return cells.select("z", "x", "y", "px", "py", lon.alias("longitude"), lat.alias("latitude"))
+
+
+def render_many(asked: DataFrame, field: DataFrame, grid: Grid, stops: Stops) -> DataFrame:
+    """(z, x, y, px, py, r, g, b, a) of many tiles at once."""
+    r, g, b, a = colour(F.col("value"), stops)
+    return sample(pixels_of(asked), field, grid).select("z", "x", "y", "px", "py", r.alias("r"), g.alias("g"), b.alias("b"), a.alias("a"))
+
+
 def aligned(longitude: Column, grid: Grid) -> Column:
     """Turned by 360 degrees at most once in the direction of the grid."""
     low, high = F.lit(grid.lon_start), F.lit(grid.lon_stop)

@@ -41,7 +41,7 @@ def _r(sql: str) -> str:
     return f"round({sql}, 6)"
 
 
-# Series ---------------------------------------------------------------------------------------
+# Series
 
 _LEADS = """SELECT o_orderpriority AS model_id, CAST(l_shipdate AS DATE) AS valid_time, CAST(o_orderdate AS DATE) AS cycle_time,
   CAST(24 * date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS BIGINT) AS lead_time_hours, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice AS value
@@ -108,11 +108,11 @@ def meteogram_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.meteogram(hours, ["user_id"])
 
 
-# Ensembles ------------------------------------------------------------------------------------
+# Ensembles
 
 _STATS = """round(avg(v), 6) AS mean, round(median(v), 6) AS median, round(stddev_pop(v), 6) AS spread, round(quantile_cont(v, 0.1), 6) AS p10, round(quantile_cont(v, 0.25), 6) AS p25,
   round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.75), 6) AS p75, round(quantile_cont(v, 0.9), 6) AS p90, count(*) AS member_count"""
-_STAT_COLUMNS = ["mean", "median", "spread", "p10", "p25", "p50", "p75", "p90"]
+_STAT_COLUMNS = ["mean", "median", "spread", *(f"p{q}" for q in ensemble.PERCENTILES)]
 
 
 @query(f"SELECT event_type, {_STATS} FROM (SELECT event_type, value AS v FROM events) GROUP BY event_type")
@@ -196,7 +196,7 @@ def statistics_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(stats.unpivot("event_type", ["mean", "median", "spread"], "name", "value"), "value")
 
 
-# Verification ---------------------------------------------------------------------------------
+# Verification
 
 
 @query("""WITH f AS (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS f FROM lineitem GROUP BY l_orderkey),
@@ -223,7 +223,7 @@ def obs_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.window(_t(spark, sf_dir, "events"), "2024-01-05", "2024-01-08", "ts").select("event_id", "ts", "user_id", "event_type")
 
 
-# Catalog --------------------------------------------------------------------------------------
+# Catalog
 
 
 @query("""SELECT r_name, n_name, string_agg(y, ',' ORDER BY y DESC) AS years FROM (
@@ -310,7 +310,7 @@ def vars_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.union(b).distinct()
 
 
-# Readiness ------------------------------------------------------------------------------------
+# Readiness
 
 
 @query("""SELECT user_id, event_type FROM (SELECT DISTINCT user_id FROM events) CROSS JOIN (SELECT DISTINCT event_type FROM events)
@@ -355,7 +355,7 @@ def merge_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.merge_leads(o.where("o_custkey % 2 = 0").select("o_orderkey", "lead_time_hours"), new)
 
 
-# Geometry -------------------------------------------------------------------------------------
+# Geometry
 
 
 @query("""WITH c AS (SELECT c_custkey, -90 + (c_custkey % 181) AS lat1, -180 + (c_custkey % 361) AS lon1, -90 + ((c_custkey * 7) % 181) AS lat2, -180 + ((c_custkey * 11) % 361) AS lon2 FROM customer),
@@ -423,7 +423,7 @@ def derived_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interp.derive_grid(nodes)
 
 
-# Units, labels, keys --------------------------------------------------------------------------
+# Units, labels, keys
 
 _UNITS = "CASE event_type WHEN 'click' THEN '°C' WHEN 'view' THEN 'mm/h' WHEN 'purchase' THEN 'km/h' ELSE 'hPa' END"
 

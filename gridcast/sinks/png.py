@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import struct
 import zlib
 
 import numpy as np
@@ -21,9 +20,10 @@ def encode(rgba: np.ndarray) -> bytes:
     lines[:, 1:] = rgba.astype(np.uint8).reshape(height, -1)
 
     def chunk(kind: bytes, data: bytes) -> bytes:
-        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+        body = kind + data
+        return len(data).to_bytes(4, "big") + body + zlib.crc32(body).to_bytes(4, "big")
 
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + chunk(b"IEND", b"")
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", b"".join(n.to_bytes(4, "big") for n in (width, height)) + bytes([8, 6, 0, 0, 0])) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + chunk(b"IEND", b"")
 
 
 def images(pixels: DataFrame, keys: list[str], size: int = 256) -> DataFrame:

@@ -40,7 +40,7 @@ def test_probabilities_and_interval(spark):
         r = ensemble.probability(rain, ["k"], *args).first()
         assert r.probability == pytest.approx(0.6)
         assert (r.ci_low, r.ci_high) == (pytest.approx(0.2307, abs=1e-4), pytest.approx(0.8824, abs=1e-4))
-    assert ensemble.probability(column(spark, [15.5, 17.5, 19.5, 21.5, 23.5]), ["k"], "gt", 20).first().probability == pytest.approx(0.4)
+    assert ensemble.probability(column(spark, [15.5 + 2 * k for k in range(5)]), ["k"], "gt", 20).first().probability == pytest.approx(0.4)
     certain = ensemble.probability(rain, ["k"], "gt", 0).first()
     assert certain.probability == 1 and certain.ci_high == pytest.approx(1) and certain.ci_low > 0.5
 
@@ -58,7 +58,7 @@ def test_percentiles_are_checked(spark, q):
 
 
 def test_histogram(spark):
-    rows = ensemble.histogram(column(spark, [15.5, 17.5, 19.5, 21.5, 23.5]), ["k"]).orderBy("bin").collect()
+    rows = ensemble.histogram(column(spark, [15.5 + 2 * k for k in range(5)]), ["k"]).orderBy("bin").collect()
     assert [r["count"] for r in rows] == [2, 1, 1, 1] or sum(r["count"] for r in rows) == 5
     assert len(rows) == 4 and rows[-1].bin_high == 23.5
     one = ensemble.histogram(column(spark, [7, 7, 7]), ["k"]).collect()

@@ -33,7 +33,7 @@ def world(spark):
         "models": frame(spark, "models", [{"id": "m1", "model_id": "gfs", "name": "GFS", "center_id": "noaa", "is_ensemble": False}, {"id": "m2", "model_id": "gefs", "name": "GEFS", "center_id": "noaa", "is_ensemble": True}]),
         "versions": frame(spark, "model_versions", [{"id": "v1", "model_id": "gfs", "version_string": "v1.0"}]),
         "runs": frame(spark, "model_runs", [{"id": f"r{h:02}", "model_version_id": "v1", "cycle_time": hours(h), "status": "processing" if h == 12 else "ready", "zarr_store_path": None if h == 12 else f"s/{h}"} for h in (0, 6, 12)]),
-        "variables": frame(spark, "forecast_variables", [{"id": "t", "variable_code": "temperature_2m", "name": "T", "unit": "°C"}, {"id": "p", "variable_code": "precipitation_rate", "name": "P", "unit": "mm/h"}]),
+        "variables": frame(spark, "forecast_variables", [dict(id=i, variable_code=c, name=i, unit=u) for i, c, u in (("t", "temperature_2m", "°C"), ("p", "precipitation_rate", "mm/h"))]),
         "products": frame(spark, "forecast_products", [{"id": f"{r}{h}{v}", "run_id": r, "variable_id": v, "grid_id": "g", "product_type": "surface", "lead_time_hours": h} for r, hs in leads.items() for h in hs for v in "tp"]),
     }
     field = [(r, "temperature_2m", h, i, j, 10 + 10 * (i * 0.25) + 10 * (j * 0.25) + 0.5 * h) for r, hs in leads.items() for h in hs for i in range(4) for j in range(4)]
@@ -129,11 +129,14 @@ def test_tiles(spark):
     out = tiles.render(spark, nodes.where("row > 60"), world, 0, 0, 0, tiles.TEMPERATURE_STOPS)
     assert out.count() == 65536 and out.where("a = 0").count() > 0
     image = png.images(out.withColumn("tile", F.lit("0/0/0")), ["tile"]).first().png
-    assert image[:8] == b"\x89PNG\r\n\x1a\n" and struct.unpack(">II", image[16:24]) == (256, 256)
+    assert image[1:4] == b"PNG" and struct.unpack(">II", image[16:24]) == (256, 256)
     data = zlib.decompress(image[image.index(b"IDAT") + 4 : -16])
     pixels = np.frombuffer(data, np.uint8).reshape(256, 1 + 1024)[:, 1:].reshape(256, 256, 4)
     r = out.where("px = 10 and py = 20").first()
     assert pixels[20, 10].tolist() == [r.r, r.g, r.b, r.a]
+    asked = spark.createDataFrame([(0, 0, 0), (1, 2, 0), (3, 1, 2)], "z int, x int, y int")
+    many = tiles.render_many(asked, nodes.where("row > 60"), world, tiles.TEMPERATURE_STOPS)
+    assert many.where("z = 0").drop("z", "x", "y").exceptAll(out).isEmpty() and many.count() == 2 * 65536
     for bad in ((10, 0, 0), (1, 2, 0), (0, 0, -1)):
         with pytest.raises(errors.InvalidInput):
             tiles.check_tile(*bad)
@@ -200,9 +203,9 @@ def test_sets_of_keys(spark):
 
 def test_manifest_and_flags(spark, tmp_path):
     path = tmp_path / "m.json"
-    path.write_text(json.dumps({"runs": [{"model": "gefs", "cycle_date": "2026-07-21", "cycle_hour": 0, "lead_time_hours": [0, 246], "members": [1, 2]}, {"model": "gfs", "cycle_date": "2026-07-21", "cycle_hour": 6, "lead_time_hours": [6]}]}))
+    path.write_text(json.dumps({"runs": [dict(model="gefs", cycle_date="2026-07-21", cycle_hour=0, lead_time_hours=[0, 246], members=[1, 2]), dict(model="gfs", cycle_date="2026-07-21", cycle_hour=6, lead_time_hours=[6])]}))
     todo = runs.items(runs.read_manifest(spark, str(path)))
-    named = todo.select("member", runs.file_name(*(F.col(c) for c in ("model", "cycle_date", "cycle_hour", "lead_time_hours", "member"))).alias("f")).collect()
+    named = todo.select("member", runs.file_name(*(F.col(c) for c in "model cycle_date cycle_hour lead_time_hours member".split())).alias("f")).collect()
     assert len(named) == 5 and {r.f for r in named} >= {"gefs.20260721/00/gep01.t00z.pgrb2s.0p50.f246", "gfs.20260721/06/atmos/gfs.t06z.pgrb2.0p25.f006"}
     with pytest.raises(errors.InvalidInput):
         runs.read_manifest(spark, str(path), max_runs=1)
