@@ -101,13 +101,11 @@ def calibrate(x: np.ndarray, good: np.ndarray, prior: float = 0.5) -> tuple[floa
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
     """The model from at most ``sample`` labelled texts of each class, those of least hash of the id."""
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("good"))
-    picked = None
-    for value in (0, 1):
-        part = marks.where(F.col("good") == value)
-        texts = docs.where(F.length(text_col) > 0).select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(part, "__id")
-        top = texts.orderBy(F.xxhash64("__id"), "__id", "text").limit(sample)
-        picked = top if picked is None else picked.unionByName(top)
-    rows = picked.select("good", "text").collect()
+    picked = [marks.where(F.col("good") == v).orderBy(F.xxhash64("__id"), "__id").limit(sample) for v in (0, 1)]
+    picked = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * sample rows at most, so the texts stay where they are
+    texts = docs.where(F.length(text_col) > 0).select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
+    rows = texts.join(picked, "__id").select(F.xxhash64("__id").alias("h"), "__id", "good", "text").collect()
+    rows.sort(key=lambda r: (r.h, r[1], r.text))
     by = {v: [r.text.encode() for r in rows if r.good == v] for v in (0, 1)}
     fit = {v: by[v][::2] for v in by}
     held = {v: by[v][1::2] for v in by}
