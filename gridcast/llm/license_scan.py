@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import node_id
-from .textarrays import Words, column_of, slices
+from .textarrays import WORD_RE, Words, column_of, slices
 
 RARE = 3
 SLACK = 2
@@ -178,3 +178,36 @@ def license_notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = F.array(*[F.lit(t.license_id) for t in templates])
     named = found.select("node", "doc_id", F.element_at(names, F.col("template") + 1).alias("license_id"), "start_word").distinct()
     return named.groupBy("node", "doc_id", "license_id").agg(F.count(F.lit(1)).alias("n_notices"), F.min("start_word").alias("start_word")).drop("node")
+
+
+def _sql_list(words: Sequence[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _template_rows() -> tuple[str, str]:
+    """VALUES of the templates (number, licence, words) and of their phrases (number, start, end)."""
+    texts, phrases = [], []
+    for k, t in enumerate(TEMPLATES):
+        words = _split(t.text)
+        texts.append(f"({k}, '{t.license_id}', {_sql_list(words)})")
+        for phrase in t.phrases:
+            p = _split(phrase)
+            at = next(i for i in range(len(words)) if words[i : i + len(p)] == p)
+            phrases.append(f"({k}, {at}, {at + len(p)})")
+    return ", ".join(texts), ", ".join(phrases)
+
+
+#: The same in DuckDB.
+LICENSES_SQL = f"""
+WITH t(tid, license_id, tw) AS (VALUES {_template_rows()[0]}), p(tid, a, b) AS (VALUES {_template_rows()[1]}),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD_RE}') AS words FROM documents WHERE doc_id IS NOT NULL AND length(text) > 0),
+k AS (SELECT doc_id, unnest(words) AS w, unnest(range(len(words))) AS pos FROM d),
+tp AS (SELECT tid, w, min(pos) AS pos FROM (SELECT tid, unnest(tw) AS w, unnest(range(len(tw))) AS pos FROM t) GROUP BY tid, w),
+f AS (SELECT w, count(DISTINCT doc_id) AS n FROM k WHERE w IN (SELECT w FROM tp) GROUP BY w),
+r AS (SELECT tid, w, pos, row_number() OVER (PARTITION BY tid ORDER BY coalesce(n, 0), w) AS place FROM tp LEFT JOIN f USING (w)),
+s AS (SELECT tid, a, b FROM p UNION ALL SELECT tid, pos, pos + 1 FROM r WHERE place BETWEEN 2 AND {RARE}),
+c AS (SELECT doc_id, tid, k.pos - r.pos AS start FROM k JOIN r USING (w) WHERE place = 1),
+ok AS (SELECT doc_id, tid, start FROM c JOIN d USING (doc_id) JOIN t USING (tid) JOIN s USING (tid) GROUP BY doc_id, tid, start
+  HAVING bool_and(len(list_filter(range({-SLACK}, {SLACK + 1}), lambda x: start + a + x >= 0 AND words[start + a + x + 1 : start + b + x] = tw[a + 1 : b])) > 0))
+SELECT doc_id, license_id, count(DISTINCT greatest(start, 0)) AS n_notices, CAST(min(greatest(start, 0)) AS INTEGER) AS start_word FROM ok JOIN t USING (tid) GROUP BY doc_id, license_id
+"""

@@ -4,8 +4,10 @@ import random
 from itertools import product
 
 from conftest_llm import rows
+from oracle import DATA, compare, connection
 
 from gridcast.llm import license_scan as lic
+from gridcast.llm.queries import op4_license_scan
 
 FILLER = "the of this any software license licensed version public under to gnu apache mit alpha beta 2 0 3 granted".split()
 
@@ -61,3 +63,7 @@ def test_edges(spark, make):
     docs = make([(1, notice), (1, notice), (2, None), (3, ""), (None, notice), (4, "x " * 200_000 + notice), (5, notice + " " + notice), (6, notice), (6, notice + " again")])
     assert rows(lic.license_notices(docs), "doc_id", "n_notices", "start_word") == [(1, 1, 0), (4, 1, 200_000), (5, 2, 0), (6, 1, 0), (6, 1, 0)]
     assert lic.license_notices(make([])).count() == 0
+
+
+def test_sql(spark):
+    compare(op4_license_scan(spark, f"{DATA}/sf0.01"), lic.LICENSES_SQL, connection("sf0.01"))
