@@ -192,3 +192,23 @@ def delete_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if length_col and length_col in docs.columns:
         values[length_col] = F.when(changed, F.length("__text").cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col))
     return out.withColumns(values).select(*docs.columns)
+
+
+#: The same in DuckDB, from the tight windows.
+RUNS_SQL = rf"""
+WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+u AS (SELECT doc_id, unnest(lines) AS x, unnest(range(len(lines))) AS line FROM s),
+w AS (SELECT *, len(regexp_extract_all(x, '\S+')) AS words FROM u),
+l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS pos, sum(words) OVER (PARTITION BY doc_id ORDER BY line) AS upto FROM w WHERE words > 0),
+d AS (SELECT doc_id, list(x ORDER BY pos) AS seq FROM l GROUP BY doc_id),
+t AS (SELECT a.doc_id, a.pos AS a, min(b.pos) + 1 AS b FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.pos < a.pos + {MIN_WORDS} AND b.upto - a.upto + a.words >= {MIN_WORDS} GROUP BY ALL
+  UNION SELECT a.doc_id, max(b.pos), a.pos + 1 FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.pos <= a.pos AND b.pos > a.pos - {MIN_WORDS} AND a.upto - b.upto + b.words >= {MIN_WORDS} GROUP BY a.doc_id, a.pos),
+k AS (SELECT doc_id, a, b, array_to_string(seq[a + 1 : b], chr(10)) AS name FROM t JOIN d USING (doc_id)),
+f AS (SELECT *, first_value(doc_id) OVER o AS first_doc, first_value(a) OVER o AS first_a FROM k WINDOW o AS (PARTITION BY name ORDER BY doc_id, a)),
+g AS (SELECT * FROM f WHERE (doc_id, a) <> (first_doc, first_a)),
+m AS (SELECT *, max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM g),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS run FROM m),
+r AS (SELECT doc_id, run, min(a) AS a, max(b) AS b, min(first_doc) AS first_doc_id FROM i GROUP BY doc_id, run)
+SELECT r.doc_id, CAST(min(line) AS INTEGER) AS start_line, CAST(max(line) + 1 AS INTEGER) AS end_line, CAST(count(*) AS INTEGER) AS n_lines, CAST(sum(words) AS INTEGER) AS n_words, min(first_doc_id) AS first_doc_id
+FROM r JOIN l ON l.doc_id = r.doc_id AND l.pos >= r.a AND l.pos < r.b GROUP BY r.doc_id, run
+"""

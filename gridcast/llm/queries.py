@@ -68,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: Where SQL can express the operator; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": line_dedup.RUNS_SQL,
     "op2_secret_ownership": secret_scan.OWNERSHIP_SQL,
     "op4_license_scan": license_scan.LICENSES_SQL,
     "op8_maxscore_topk": topk.TOP_SQL,

@@ -4,8 +4,10 @@ import random
 
 import pytest
 from conftest_llm import rows
+from oracle import DATA, compare, connection
 
 from gridcast.llm import line_dedup
+from gridcast.llm.queries import op1_line_dedup
 
 
 def brute(docs, min_words):
@@ -88,3 +90,7 @@ def test_suffix_ranks_sort_the_suffixes(spark, make):
         by_rank.setdefault((r.h, r.rank), set()).add((seq[r.id][r.pos], seq[r.id][r.pos + 1]))
     assert all(len(v) == 1 for v in by_rank.values())
     assert {next(iter(v)) for v in by_rank.values()} == {(seq[0][0], seq[0][1]), (seq[0][3], seq[0][4])}
+
+
+def test_sql(spark):
+    compare(op1_line_dedup(spark, f"{DATA}/sf0.01"), line_dedup.RUNS_SQL, connection("sf0.01"))
