@@ -4,11 +4,11 @@ A document's set of words is projected on random directions; the signs are
 ``TABLES`` fingerprints of ``BITS`` bits.  Two fingerprints at distance
 ``2 * HALF`` or less share a variant that is at most ``HALF`` bits from either.
 So every fingerprint emits its ball of radius ``HALF``, the variants are
-shuffled, and documents that meet on a variant are candidates.  All members of
-one bucket are within the radius of each other (triangle inequality), hence an
-edge from each member to the bucket's least member is enough to connect them,
-and a bucket costs what it holds, whatever its size.  Candidates are verified
-on the distance of all ``TABLES * BITS`` bits.
+shuffled, and documents that meet on a variant are candidates.  Members of a
+bucket are near each other in one table only, so any two of them may be the
+near ones: all pairs of a bucket are verified on the distance of all bits,
+apart from those that are already connected.  A bucket of unrelated members
+costs the square of its size in time, and its size in memory.
 
 Texts are read once; what is shuffled is fixed-size numbers.  Variants are routed
 by a few of their bits, so those that leave these bits alone travel as one row; the
@@ -26,99 +26,201 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, cut, node_id
-from .textarrays import Words, column_of, slices
+from .textarrays import Words, column_of, mix64, slices
 
 TABLES, BITS, HALF = 12, 40, 1
+#: Bits of a sketch, from which the tables are taken.
+POOL = 480
 #: Of TABLES * BITS bits; a fifth is an angle of 0.63, a cosine of 0.81 between word sets.
 MAX_DISTANCE = 96
 #: Fingerprints of a table that share a route, about; a partition holds whole routes.
 PER_ROUTE = 20_000
+#: Buckets up to this size are compared pair by pair.
+SMALL = 16
 _DIM = 4096
 _WHOLE = 1 << 48  # marks a fingerprint that stands for all its variants on one route
 
 
 @lru_cache(1)
 def _directions() -> np.ndarray:
-    return np.random.default_rng(20240229).choice(np.array([-1, 1], np.float32), size=(_DIM, TABLES * BITS))
+    return np.random.default_rng(20240229).choice(np.array([-1, 1], np.float32), size=(_DIM, POOL))
 
 
-def fingerprints(words: Words) -> np.ndarray:
-    """A row of TABLES fingerprints for each text."""
-    out = np.zeros((words.rows, TABLES), np.int64)
-    weights = np.int64(1) << np.arange(BITS, dtype=np.int64)
+@lru_cache(1)
+def _places() -> np.ndarray:
+    """The bits of the sketch that each table takes."""
+    return np.arange(POOL).reshape(TABLES, BITS)
+
+
+def sketch(words: Words) -> np.ndarray:
+    """POOL bits of each text, packed into bytes."""
+    out = np.zeros((words.rows, POOL // 8), np.uint8)
     feature = (words.hash % np.uint64(_DIM)).astype(np.int64)
     for a in range(0, words.rows, 256):
         b = min(a + 256, words.rows)
         part = slice(words.first[a], words.first[b])
         seen = np.zeros((b - a) * _DIM, np.float32)
         seen[(words.row[part] - a) * _DIM + feature[part]] = 1
-        bits = (seen.reshape(b - a, _DIM) @ _directions()) > 0
-        out[a:b] = bits.reshape(b - a, TABLES, BITS).astype(np.int64) @ weights
+        out[a:b] = np.packbits((seen.reshape(b - a, _DIM) @ _directions()) > 0, axis=1)
     return out
 
 
+def _tables(bits: np.ndarray) -> np.ndarray:
+    """A row of TABLES fingerprints for each sketch."""
+    out = np.zeros((len(bits), TABLES), np.int64)
+    loose = np.unpackbits(bits, axis=1)
+    for k, place in enumerate(_places().T):
+        out |= loose[:, place].astype(np.int64) << k
+    return out
+
+
+def fingerprints(words: Words) -> np.ndarray:
+    """A row of TABLES fingerprints for each text."""
+    return _tables(sketch(words))
+
+
+def _packed(rows: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(rows.shape[1]), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
+
+
+def _unpacked(column: pa.Array, width: int) -> np.ndarray:
+    data = b"".join(column.to_pylist())
+    return np.frombuffer(data, np.uint8).reshape(len(column), width)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text = column_of(batch, "text")
         for a, b in slices(text):
             words = Words(text.slice(a, b - a))
-            fp = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * TABLES, TABLES, dtype=np.int32)), pa.array(fingerprints(words).ravel()))
             yield pa.RecordBatch.from_arrays(
-                [column_of(batch, "node").slice(a, b - a), column_of(batch, "id").slice(a, b - a), column_of(batch, "same").slice(a, b - a), pa.array(np.diff(words.first) > 0), fp],
-                ["node", "id", "same", "worded", "fp"],
+                [*(column_of(batch, c).slice(a, b - a) for c in ("node", "id", "same")), pa.array(np.diff(words.first) > 0), _packed(sketch(words))],
+                ["node", "id", "same", "worded", "bits"],
             )
 
 
+def _variants(route: int) -> Callable:
+    """Fingerprints with their table above them, and the variants that leave their route."""
+    masks = np.array([_WHOLE] + [1 << k for k in range(route)], np.int64)
+    table = np.arange(TABLES, dtype=np.int64) << BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                part = batch.slice(a, 1000)
+                key = (_tables(_unpacked(column_of(part, "bits"), POOL // 8)) | table)[:, :, None] ^ masks
+                node = np.repeat(column_of(part, "node").to_numpy(), TABLES * len(masks))
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(node)], ["key", "node"])
+
+    return run
+
+
 def _meet(route: int) -> Callable:
-    """Edges from each member of a bucket to its least member; a partition holds whole buckets."""
+    """The members of each bucket; a partition holds whole buckets, and buckets with the same members are one."""
     flips = np.array([0] + [1 << k for k in range(route, BITS)], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, nodes = [], []
+        keys, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for batch in batches:
-            key, node = column_of(batch, "key").to_numpy(), column_of(batch, "node").to_numpy()
-            whole = (key & _WHOLE) > 0
-            keys += [key[~whole], ((key[whole] ^ _WHOLE)[:, None] ^ flips).ravel()]
-            nodes += [node[~whole], np.repeat(node[whole], len(flips))]
-        if not keys:
-            return
-        pairs = _stars(np.concatenate(keys), np.concatenate(nodes))
-        for k in range(0, len(pairs), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[k : k + 50_000, 0]), pa.array(pairs[k : k + 50_000, 1])], ["a", "b"])
+            keys.append(column_of(batch, "key").to_numpy())
+            nodes.append(column_of(batch, "node").to_numpy())
+        key, node = np.concatenate(keys), np.concatenate(nodes)
+        keys.clear(), nodes.clear()
+        group = key & (((1 << route) - 1) | (_WHOLE - (1 << BITS)))
+        order = np.argsort(group)
+        key, node, group = key[order], node[order], group[order]
+        cut_at = np.flatnonzero(group[1:] != group[:-1]) + 1
+        for i, j in zip([0, *cut_at.tolist()], [*cut_at.tolist(), len(key)]):
+            whole = (key[i:j] & _WHOLE) > 0
+            name, member = _buckets(
+                np.concatenate([key[i:j][~whole], ((key[i:j][whole] ^ _WHOLE)[:, None] ^ flips).ravel()]),
+                np.concatenate([node[i:j][~whole], np.repeat(node[i:j][whole], len(flips))]),
+            )
+            for k in range(0, len(name), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(name[k : k + 50_000]), pa.array(member[k : k + 50_000])], ["bucket", "node"])
 
     return run
 
 
-def _stars(key: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """(least node of a key, another node of it), each pair once."""
-    order = np.argsort(key, kind="stable")
+def _buckets(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(name, node) of the members of all keys with several nodes; the name follows from the members."""
+    order = np.argsort(key)
     key = key[order]
     run = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
     many = ~run
     many[:-1] |= ~run[1:]
     node, run = node[order[many]], run[many]
     if not len(node):
-        return np.zeros((0, 2), np.int64)
+        return node, node
     start = np.flatnonzero(run)
-    a = np.repeat(np.minimum.reduceat(node, start), np.diff(np.append(start, len(node))))
-    return np.unique(np.stack([a, node], 1)[a != node], axis=0)
+    size = np.diff(np.append(start, len(node)))
+    name, first = np.unique(np.add.reduceat(mix64(node.view(np.uint64)), start), return_index=True)
+    keep = np.repeat(np.isin(np.arange(len(start)), first), size)
+    return np.repeat(np.add.reduceat(mix64(node.view(np.uint64)), start).view(np.int64), size)[keep], node[keep]
+
+
+def _settle(max_distance: int) -> Callable:
+    """Edges that connect what is near inside each bucket; a partition holds whole buckets."""
+
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64) * (TABLES * BITS) <= max_distance * POOL
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, nodes, rows = [], [], []
+        for batch in batches:
+            if batch.num_rows:
+                names.append(column_of(batch, "bucket").to_numpy())
+                nodes.append(column_of(batch, "node").to_numpy())
+                rows.append(_unpacked(column_of(batch, "bits"), POOL // 8))
+        if not names:
+            return
+        name, node = np.concatenate(names), np.concatenate(nodes)
+        order = np.lexsort((node, name))
+        name, node, bits = name[order], node[order], np.concatenate(rows).view(np.uint64 if POOL % 64 == 0 else np.uint32)[order]
+        start = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+        size = np.diff(np.append(start, len(name)))
+        pairs = []
+        few = np.flatnonzero(np.repeat(size <= SMALL, size))  # all pairs
+        for k in range(1, SMALL):
+            for i in range(0, len(few), 100_000):
+                a = few[i : i + 100_000]
+                a = a[a + k < len(name)]
+                a = a[name[a] == name[a + k]]
+                a = a[near(bits[a], bits[a + k])]
+                pairs.append(np.stack([node[a], node[a + k]], 1))
+        for k in np.flatnonzero(size > SMALL).tolist():
+            part = slice(start[k], start[k] + size[k])
+            a, b = _reached(bits[part], near)
+            pairs.append(np.stack([node[part][a], node[part][b]], 1))
+        found = np.unique(np.concatenate(pairs), axis=0)
+        for k in range(0, len(found), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(found[k : k + 50_000, 0]), pa.array(found[k : k + 50_000, 1])], ["a", "b"])
+
+    return run
+
+
+def _reached(bits: np.ndarray, near: Callable) -> tuple[list[int], list[int]]:
+    """Edges (a, b), a forest with the connected components of all near pairs: each row meets all that no row has reached yet."""
+    one, other, left, todo = [], [], np.arange(len(bits)), []
+    while len(left):
+        if not todo:
+            todo, left = [int(left[0])], left[1:]
+        at = todo.pop()
+        hit = near(bits[at], bits[left])
+        found, left = left[hit].tolist(), left[~hit]
+        one += [at] * len(found)
+        other += found
+        todo += found
+    return one, other
 
 
 def near_edges(sketches: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """Verified edges (a, b, distance) between ``sketches(node, fp)``."""
-    route = min(BITS, max(8, (sketches.count() // PER_ROUTE).bit_length()))
-    masks = [_WHOLE] + [1 << k for k in range(route)]
-    fingerprint = F.col("fp") + F.shiftleft(F.col("table").cast("long"), BITS)
-    variants = (
-        sketches.select("node", F.posexplode("fp").alias("table", "fp"))
-        .select("node", F.explode(F.array(*[fingerprint.bitwiseXOR(F.lit(m).cast("long")) for m in masks])).alias("key"))
-        .repartition(F.col("key").bitwiseAND(F.lit(((1 << route) - 1) | (15 << BITS)).cast("long")))
-    )
-    pairs = variants.mapInArrow(_meet(route), "a long, b long").distinct()
-    left = sketches.select(F.col("node").alias("a"), F.col("fp").alias("fa"))
-    right = sketches.select(F.col("node").alias("b"), F.col("fp").alias("fb"))
-    apart = sum((F.bit_count(F.col("fa")[k].bitwiseXOR(F.col("fb")[k])) for k in range(1, TABLES)), F.bit_count(F.col("fa")[0].bitwiseXOR(F.col("fb")[0])))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", apart.alias("distance")).where(F.col("distance") <= max_distance)
+    """Edges (a, b) between ``sketches(node, bits)`` that connect all pairs near each other that meet in some bucket."""
+    route = min(BITS, max(2, (sketches.count() // PER_ROUTE).bit_length()))
+    variants = sketches.select("node", "bits").mapInArrow(_variants(route), "key long, node long")
+    variants = variants.repartition(F.col("key").bitwiseAND(F.lit(((1 << route) - 1) | (_WHOLE - (1 << BITS))).cast("long")))
+    members = variants.mapInArrow(_meet(route), "bucket long, node long").distinct()
+    return members.join(sketches.select("node", "bits"), "node").repartition("bucket").mapInArrow(_settle(max_distance), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE) -> DataFrame:
@@ -134,12 +236,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text count as one document.  Other columns are ignored.
     """
     used = docs.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(node_id(id_col, text_col).alias("node"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.lit(1), F.col(text_col)).alias("same"), F.col(text_col).alias("text"))
-    sketches = cut(used.mapInArrow(_sketch, "node long, id long, same long, worded boolean, fp array<long>"))
+    sketches = cut(used.mapInArrow(_sketch, "node long, id long, same long, worded boolean, bits binary"))
     least = F.min(F.struct("id", "node")).alias("first")
-    firsts = sketches.groupBy("same").agg(least, F.first("worded").alias("worded"), F.first("fp").alias("fp"), F.count_distinct("node").alias("n"))
-    firsts = cut(firsts.select("same", F.col("first.node").alias("node"), "worded", "fp", "n"))
+    firsts = sketches.groupBy("same").agg(least, F.first("worded").alias("worded"), F.first("bits").alias("bits"), F.count_distinct("node").alias("n"))
+    firsts = cut(firsts.select("same", F.col("first.node").alias("node"), "worded", "bits", "n"))
     copies = sketches.join(firsts.where("n > 1").select("same", F.col("node").alias("a")), "same").where("node <> a").select("a", F.col("node").alias("b"))
-    near = near_edges(firsts.where("worded").select("node", "fp"), max_distance).select("a", "b")
+    near = near_edges(firsts.where("worded").select("node", "bits"), max_distance)
     labels = components(copies.unionByName(near))
     members = sketches.select("node", "id", "same").distinct().join(labels, "node")
     kept = members.groupBy("label").agg(F.min(F.struct("id", "node", "same")).alias("kept"))

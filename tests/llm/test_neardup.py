@@ -90,3 +90,22 @@ def test_fingerprints_don_t_depend_on_the_batch():
     whole = neardup.fingerprints(Words(texts))
     assert (whole[2] == neardup.fingerprints(Words(texts.slice(2, 1)))[0]).all()
     assert not np.array_equal(whole[0], whole[2])
+
+
+def test_copies_are_found_among_chance_neighbours(spark):
+    rnd = np.random.default_rng(8)
+    place = neardup._places()
+    flips = neardup.MAX_DISTANCE * neardup.POOL // (neardup.TABLES * neardup.BITS)
+    loose = rnd.integers(0, 2, (60, neardup.POOL), np.uint8).repeat(2, 0)
+    loose[:, place[0]] = loose[0, place[0]]  # all meet here, and twins nowhere else
+    for k in range(1, 120, 2):
+        while True:
+            twin = loose[k].copy()
+            twin[rnd.permutation(np.setdiff1d(np.arange(neardup.POOL), place[0]))[:flips]] ^= 1
+            if ((twin ^ loose[k])[place[1:]].sum(1) > 2 * neardup.HALF).all():
+                break
+        loose[k] = twin
+    packed = np.packbits(loose, axis=1)
+    sketches = spark.createDataFrame([(k, bytes(x)) for k, x in enumerate(packed)], "node long, bits binary")
+    got = {tuple(sorted((r.a, r.b))) for r in neardup.near_edges(sketches).collect()}
+    assert got == {(k, k + 1) for k in range(0, 120, 2)}
