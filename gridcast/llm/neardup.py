@@ -1,7 +1,8 @@
 """Near-duplicate documents by SimHash and meet-in-the-middle ball hashing.
 
-A document's set of words is projected on random directions; the signs are
-``TABLES`` fingerprints of ``BITS`` bits.  Two fingerprints at distance
+A document's set of words is projected on ``POOL`` random directions; the signs
+are its sketch.  Several permutations of the sketch are each cut into fingerprints of
+``BITS`` bits, ``TABLES`` in all.  Two fingerprints at distance
 ``2 * HALF`` or less share a variant that is at most ``HALF`` bits from either.
 So every fingerprint emits its ball of radius ``HALF``, the variants are
 shuffled, and documents that meet on a variant are candidates.  Members of a
@@ -28,13 +29,14 @@ from pyspark.sql import functions as F
 from .common import components, cut, node_id
 from .textarrays import Words, column_of, mix64, slices
 
-TABLES, BITS, HALF = 12, 40, 1
-#: Bits of a sketch, from which the tables are taken.
-POOL = 480
+#: So many that of two sketches at MAX_DISTANCE 0.91 meet in some table; of nearer ones more.
+TABLES, BITS, HALF = 80, 32, 1
+#: Bits of a sketch; each is in TABLES * BITS / POOL tables.
+POOL = 512
 #: Of TABLES * BITS bits; a fifth is an angle of 0.63, a cosine of 0.81 between word sets.
-MAX_DISTANCE = 96
+MAX_DISTANCE = TABLES * BITS // 5
 #: Fingerprints of a table that share a route, about; a partition holds whole routes.
-PER_ROUTE = 20_000
+PER_ROUTE = 60_000
 #: Buckets up to this size are compared pair by pair.
 SMALL = 16
 _DIM = 4096
@@ -49,7 +51,8 @@ def _directions() -> np.ndarray:
 @lru_cache(1)
 def _places() -> np.ndarray:
     """The bits of the sketch that each table takes."""
-    return np.arange(POOL).reshape(TABLES, BITS)
+    rng = np.random.default_rng(20240301)
+    return np.concatenate([rng.permutation(POOL) for _ in range(TABLES * BITS // POOL)]).reshape(TABLES, BITS)
 
 
 def sketch(words: Words) -> np.ndarray:

@@ -109,3 +109,16 @@ def test_copies_are_found_among_chance_neighbours(spark):
     sketches = spark.createDataFrame([(k, bytes(x)) for k, x in enumerate(packed)], "node long, bits binary")
     got = {tuple(sorted((r.a, r.b))) for r in neardup.near_edges(sketches).collect()}
     assert got == {(k, k + 1) for k in range(0, 120, 2)}
+
+
+def test_recall_at_the_largest_distance(spark):
+    rnd = np.random.default_rng(9)
+    flips = neardup.MAX_DISTANCE * neardup.POOL // (neardup.TABLES * neardup.BITS)
+    assert flips >= neardup.POOL // 5
+    loose = rnd.integers(0, 2, (3000, neardup.POOL), np.uint8)
+    for k in range(1, 3000, 2):
+        loose[k] = loose[k - 1]
+        loose[k, rnd.permutation(neardup.POOL)[:flips]] ^= 1
+    sketches = spark.createDataFrame([(k, bytes(x)) for k, x in enumerate(np.packbits(loose, axis=1))], "node long, bits binary")
+    got = {tuple(sorted((r.a, r.b))) for r in neardup.near_edges(sketches).collect()}
+    assert got <= {(k, k + 1) for k in range(0, 3000, 2)} and len(got) >= 0.89 * 1500
