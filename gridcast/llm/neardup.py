@@ -11,6 +11,9 @@ near ones: all pairs of a bucket are verified on the distance of all bits,
 apart from those that are already connected.  A bucket of unrelated members
 costs the square of its size in time, and its size in memory.
 
+Long texts of one language have much the same set of words, whatever they say.  Two
+texts of ``LONG`` words must therefore also have pairs of adjoining words in common.
+
 Texts are read once; what is shuffled is fixed-size numbers.  Variants are routed
 by a few of their bits, so those that leave these bits alone travel as one row; the
 number of routes grows with the documents, and has no influence on what is found.
@@ -39,13 +42,51 @@ MAX_DISTANCE = TABLES * BITS // 5
 PER_ROUTE = 60_000
 #: Buckets up to this size are compared pair by pair.
 SMALL = 16
-_DIM = 4096
+#: Words from which on texts must also share pairs of adjoining words, as their sets of words may exhaust the vocabulary.
+LONG = 2_000
+#: Bits of the sketch of these pairs, and its largest distance; a cosine of 0.31.
+ORDER, MAX_ORDER = 256, 102
 _WHOLE = 1 << 48  # marks a fingerprint that stands for all its variants on one route
 
 
-@lru_cache(1)
-def _directions() -> np.ndarray:
-    return np.random.default_rng(20240229).choice(np.array([-1, 1], np.float32), size=(_DIM, POOL))
+_SALTS = np.random.default_rng(20240229).integers(1, 1 << 63, (POOL + ORDER) // 64).astype(np.uint64)
+
+
+def _signs(row: np.ndarray, feature: np.ndarray, rows: int, salts: np.ndarray) -> np.ndarray:
+    """For each row 64 bits a salt: what most of its distinct features have there, 0 in a tie.
+
+    Counts are kept as bit planes, and those of a row added up two by two.
+    """
+    value, at = np.unique(feature, return_inverse=True)
+    pair = np.unique(row * max(1, len(value)) + at)
+    size = np.bincount(pair // max(1, len(value)), minlength=rows)
+    at = pair % max(1, len(value))
+    out = np.zeros((rows, len(salts)), np.uint64)
+    step = max(1, min(len(salts), (1 << 18) // (len(at) + 1)))
+    full, none = ~np.uint64(0), np.uint64(0)
+    for k in range(0, len(salts), step):
+        planes, left = [np.stack([mix64(value + x) for x in salts[k : k + step]], 1)[at]], size
+        while left.max(initial=0) > 1:
+            half = (left + 1) // 2
+            turn = 2 * (np.arange(half.sum()) - np.repeat(np.cumsum(half) - half, half))
+            one = np.repeat(np.cumsum(left) - left, half) + turn
+            lone = turn + 1 >= np.repeat(left, half)
+            other, keep = np.where(lone, one, one + 1), np.where(lone, none, full)[:, None]
+            carry, added = np.zeros((len(one), planes[0].shape[1]), np.uint64), []
+            for plane in planes:
+                x, y = plane[one], plane[other] & keep
+                differ = x ^ y
+                added.append(differ ^ carry)
+                carry = (x & y) | (carry & differ)
+            planes, left = [*added, carry], half
+        some = size > 0
+        more, same = np.zeros_like(planes[0]), np.full_like(planes[0], full)
+        for j in reversed(range(len(planes))):  # the count exceeds half the size
+            bit = np.where((size[some] // 2 >> j) & 1, full, none)[:, None]
+            more |= same & planes[j] & ~bit
+            same &= ~(planes[j] ^ bit)
+        out[some, k : k + step] = more
+    return out
 
 
 @lru_cache(1)
@@ -57,15 +98,16 @@ def _places() -> np.ndarray:
 
 def sketch(words: Words) -> np.ndarray:
     """POOL bits of each text, packed into bytes."""
-    out = np.zeros((words.rows, POOL // 8), np.uint8)
-    feature = (words.hash % np.uint64(_DIM)).astype(np.int64)
-    for a in range(0, words.rows, 256):
-        b = min(a + 256, words.rows)
-        part = slice(words.first[a], words.first[b])
-        seen = np.zeros((b - a) * _DIM, np.float32)
-        seen[(words.row[part] - a) * _DIM + feature[part]] = 1
-        out[a:b] = np.packbits((seen.reshape(b - a, _DIM) @ _directions()) > 0, axis=1)
-    return out
+    return _signs(words.row, words.hash, words.rows, _SALTS[: POOL // 64]).view(np.uint8)
+
+
+def order_sketch(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """ORDER bits of each text by its pairs of adjoining words, and which texts are LONG."""
+    long = np.diff(words.first) >= LONG
+    at = np.flatnonzero(long[words.row[:-1]] & (words.row[1:] == words.row[:-1])) if len(words) else np.zeros(0, np.int64)
+    with np.errstate(over="ignore"):
+        pair = mix64(words.hash[at] * np.uint64(3) + words.hash[at + 1])
+    return _signs(words.row[at], pair, words.rows, _SALTS[POOL // 64 :]).view(np.uint8), long
 
 
 def _tables(bits: np.ndarray) -> np.ndarray:
@@ -83,12 +125,18 @@ def fingerprints(words: Words) -> np.ndarray:
 
 
 def _packed(rows: np.ndarray) -> pa.Array:
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(rows.shape[1]), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
+    """Rows of sketch, order sketch and mark as binary; short texts without the last two."""
+    return pa.array([bytes(x) if x[-1] else bytes(x[: POOL // 8]) for x in rows], pa.binary())
 
 
-def _unpacked(column: pa.Array, width: int) -> np.ndarray:
-    data = b"".join(column.to_pylist())
-    return np.frombuffer(data, np.uint8).reshape(len(column), width)
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sketches, order sketches, and which rows have such."""
+    data = column.to_pylist()
+    long = np.array([len(x) > POOL // 8 for x in data], bool)
+    order = np.zeros((len(data), ORDER // 8), np.uint8)
+    if long.any():
+        order[long] = np.frombuffer(b"".join(x[POOL // 8 : (POOL + ORDER) // 8] for x in data if len(x) > POOL // 8), np.uint8).reshape(-1, ORDER // 8)
+    return np.frombuffer(b"".join(x[: POOL // 8] for x in data), np.uint8).reshape(-1, POOL // 8), order, long
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,8 +144,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = column_of(batch, "text")
         for a, b in slices(text):
             words = Words(text.slice(a, b - a))
+            order, long = order_sketch(words)
             yield pa.RecordBatch.from_arrays(
-                [*(column_of(batch, c).slice(a, b - a) for c in ("node", "id", "same")), pa.array(np.diff(words.first) > 0), _packed(sketch(words))],
+                [*(column_of(batch, c).slice(a, b - a) for c in ("node", "id", "same")), pa.array(np.diff(words.first) > 0), _packed(np.hstack([sketch(words), order, long[:, None].astype(np.uint8)]))],
                 ["node", "id", "same", "worded", "bits"],
             )
 
@@ -111,7 +160,7 @@ def _variants(route: int) -> Callable:
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
-                key = (_tables(_unpacked(column_of(part, "bits"), POOL // 8)) | table)[:, :, None] ^ masks
+                key = (_tables(_unpacked(column_of(part, "bits"))[0]) | table)[:, :, None] ^ masks
                 node = np.repeat(column_of(part, "node").to_numpy(), TABLES * len(masks))
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(node)], ["key", "node"])
 
@@ -166,7 +215,9 @@ def _settle(max_distance: int) -> Callable:
     """Edges that connect what is near inside each bucket; a partition holds whole buckets."""
 
     def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64) * (TABLES * BITS) <= max_distance * POOL
+        count = np.bitwise_count(a[..., :-1] ^ b[..., :-1])
+        alike = count[..., : POOL // 64].sum(-1, dtype=np.int64) * (TABLES * BITS) <= max_distance * POOL
+        return alike & ((a[..., -1] & b[..., -1] == 0) | (count[..., POOL // 64 :].sum(-1, dtype=np.int64) <= MAX_ORDER))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, nodes, rows = [], [], []
@@ -174,12 +225,13 @@ def _settle(max_distance: int) -> Callable:
             if batch.num_rows:
                 names.append(column_of(batch, "bucket").to_numpy())
                 nodes.append(column_of(batch, "node").to_numpy())
-                rows.append(_unpacked(column_of(batch, "bits"), POOL // 8))
+                bits, order, long = _unpacked(column_of(batch, "bits"))
+                rows.append(np.hstack([bits.view(np.uint64), order.view(np.uint64), long[:, None].astype(np.uint64)]))
         if not names:
             return
         name, node = np.concatenate(names), np.concatenate(nodes)
         order = np.lexsort((node, name))
-        name, node, bits = name[order], node[order], np.concatenate(rows).view(np.uint64 if POOL % 64 == 0 else np.uint32)[order]
+        name, node, bits = name[order], node[order], np.concatenate(rows)[order]
         start = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
         size = np.diff(np.append(start, len(name)))
         pairs = []

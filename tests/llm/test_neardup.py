@@ -122,3 +122,14 @@ def test_recall_at_the_largest_distance(spark):
     sketches = spark.createDataFrame([(k, bytes(x)) for k, x in enumerate(np.packbits(loose, axis=1))], "node long, bits binary")
     got = {tuple(sorted((r.a, r.b))) for r in neardup.near_edges(sketches).collect()}
     assert got <= {(k, k + 1) for k in range(0, 3000, 2)} and len(got) >= 0.89 * 1500
+
+
+def test_long_unrelated_texts_stay_apart(spark, make):
+    rnd = random.Random(10)
+    texts = [" ".join(f"{k}x{rnd.randrange(10**9)}" for _ in range(50_000)) for k in range(2)]
+    texts += [" ".join(words(rnd, 50_000)) for _ in range(2)]  # nearly the same set of words
+    copy = texts[2].split()
+    for _ in range(5_000):
+        copy[rnd.randrange(50_000)] = words(rnd, 1)[0]
+    texts.append(" ".join(copy))
+    assert rows(neardup.near_duplicates(make(texts)), "doc_id", "kept_doc_id") == [(4, 2)]
