@@ -38,3 +38,11 @@ def test_empty_table(spark):
 def test_sql(spark):
     for sf in ("sf0.01", "sf0.1"):
         compare(op2_secret_ownership(spark, f"{DATA}/{sf}"), secret_scan.OWNERSHIP_SQL, connection(sf))
+
+
+def test_prefixed_names_and_long_values(spark):
+    long = "Qw7z" * 60
+    texts = ["DB_PASSWORD=hunter2hunter2x", "AWS_SECRET_ACCESS_KEY=hunter2hunter2y", "client_secret: hunter2hunter2z", 'accessToken="hunter2hunter2w"', f"token={long}1", f"token={long}2", f"xoxb-{long}-1", f"xoxb-{long}-2"]
+    out = {(r.kind, r.secret_sha256) for r in secret_scan.ownership(frame(spark, [(k, f"o{k}", t) for k, t in enumerate(texts)])).collect()}
+    values = [("assigned_secret", f"hunter2hunter2{x}") for x in "xyzw"] + [("assigned_secret", long + x) for x in "12"] + [("slack_token", f"xoxb-{long}-{x}") for x in "12"]
+    assert out == {(kind, hashlib.sha256(v.encode()).hexdigest()) for kind, v in values}
