@@ -36,7 +36,8 @@ class Template:
     phrases: tuple[str, ...]
 
 
-TEMPLATES = (
+#: Those of the SQL.
+SQL_TEMPLATES = (
     Template("Apache-2.0", "licensed under the Apache License, Version 2.0", ("Apache License, Version 2.0",)),
     Template("MIT", "released under the MIT License", ("the MIT License",)),
     Template("MIT", "licensed under the MIT License", ("the MIT License",)),
@@ -60,6 +61,49 @@ TEMPLATES = (
     Template("CC-BY-NC-SA-4.0", "licensed under CC BY-NC-SA 4.0", ("CC BY-NC-SA 4.0",)),
 )
 
+#: Also the headers and titles of the GNU licences, and SPDX lines.
+TEMPLATES = (
+    *SQL_TEMPLATES,
+    Template("GPL-2.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License", ("GNU General Public License as published", "either version 2 of the License",)),
+    Template("GPL-2.0", "under the terms of the GNU General Public License version 2 as published by the Free Software Foundation", ("GNU General Public License version 2 as published",)),
+    Template("GPL-3.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", ("GNU General Public License as published", "either version 3 of the License",)),
+    Template("GPL-3.0", "under the terms of the GNU General Public License version 3 as published by the Free Software Foundation", ("GNU General Public License version 3 as published",)),
+    Template("LGPL-2.1", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License", ("GNU Lesser General Public License as published", "either version 2.1 of the License",)),
+    Template("LGPL-2.1", "under the terms of the GNU Lesser General Public License version 2.1 as published by the Free Software Foundation", ("GNU Lesser General Public License version 2.1 as published",)),
+    Template("LGPL-3.0", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License", ("GNU Lesser General Public License as published", "either version 3 of the License",)),
+    Template("LGPL-3.0", "under the terms of the GNU Lesser General Public License version 3 as published by the Free Software Foundation", ("GNU Lesser General Public License version 3 as published",)),
+    Template("AGPL-3.0", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License", ("GNU Affero General Public License as published", "either version 3 of the License",)),
+    Template("AGPL-3.0", "under the terms of the GNU Affero General Public License version 3 as published by the Free Software Foundation", ("GNU Affero General Public License version 3 as published",)),
+    Template("GPL-3.0", "GNU General Public License Version 3, 29 June 2007", ("GNU General Public License Version 3, 29 June 2007",)),
+    Template("GPL-2.0", "GNU General Public License Version 2, June 1991", ("GNU General Public License Version 2, June 1991",)),
+    Template("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007", ("GNU Lesser General Public License Version 3, 29 June 2007",)),
+    Template("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999", ("GNU Lesser General Public License Version 2.1, February 1999",)),
+    Template("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007", ("GNU Affero General Public License Version 3, 19 November 2007",)),
+    Template("Apache-2.0", "Apache License Version 2.0, January 2004", ("Apache License Version 2.0, January 2004",)),
+    Template("MIT", "available under the MIT License", ("available under the MIT License",)),
+    Template("MIT", "distributed under the MIT License", ("distributed under the MIT License",)),
+    Template("Apache-2.0", "SPDX-License-Identifier: Apache-2.0", ("SPDX-License-Identifier: Apache-2.0",)),
+    Template("MIT", "SPDX-License-Identifier: MIT", ("SPDX-License-Identifier: MIT",)),
+    Template("ISC", "SPDX-License-Identifier: ISC", ("SPDX-License-Identifier: ISC",)),
+    Template("MPL-2.0", "SPDX-License-Identifier: MPL-2.0", ("SPDX-License-Identifier: MPL-2.0",)),
+    Template("EPL-2.0", "SPDX-License-Identifier: EPL-2.0", ("SPDX-License-Identifier: EPL-2.0",)),
+    Template("BSL-1.0", "SPDX-License-Identifier: BSL-1.0", ("SPDX-License-Identifier: BSL-1.0",)),
+    Template("Unlicense", "SPDX-License-Identifier: Unlicense", ("SPDX-License-Identifier: Unlicense",)),
+    Template("CC0-1.0", "SPDX-License-Identifier: CC0-1.0", ("SPDX-License-Identifier: CC0-1.0",)),
+    Template("CC-BY-4.0", "SPDX-License-Identifier: CC-BY-4.0", ("SPDX-License-Identifier: CC-BY-4.0",)),
+    Template("CC-BY-SA-4.0", "SPDX-License-Identifier: CC-BY-SA-4.0", ("SPDX-License-Identifier: CC-BY-SA-4.0",)),
+    Template("CC-BY-NC-4.0", "SPDX-License-Identifier: CC-BY-NC-4.0", ("SPDX-License-Identifier: CC-BY-NC-4.0",)),
+    Template("CC-BY-ND-4.0", "SPDX-License-Identifier: CC-BY-ND-4.0", ("SPDX-License-Identifier: CC-BY-ND-4.0",)),
+    Template("CC-BY-NC-SA-4.0", "SPDX-License-Identifier: CC-BY-NC-SA-4.0", ("SPDX-License-Identifier: CC-BY-NC-SA-4.0",)),
+    Template("BSD", "SPDX-License-Identifier: BSD-2-Clause", ("SPDX-License-Identifier: BSD-2-Clause",)),
+    Template("BSD", "SPDX-License-Identifier: BSD-3-Clause", ("SPDX-License-Identifier: BSD-3-Clause",)),
+    Template("GPL-2.0", "SPDX-License-Identifier: GPL-2.0", ("SPDX-License-Identifier: GPL-2.0",)),
+    Template("GPL-3.0", "SPDX-License-Identifier: GPL-3.0", ("SPDX-License-Identifier: GPL-3.0",)),
+    Template("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1", ("SPDX-License-Identifier: LGPL-2.1",)),
+    Template("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0", ("SPDX-License-Identifier: LGPL-3.0",)),
+    Template("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0", ("SPDX-License-Identifier: AGPL-3.0",)),
+)
+
 
 def _split(text: str) -> list[str]:
     words = Words(pa.array([text]))
@@ -187,7 +231,7 @@ def _sql_list(words: Sequence[str]) -> str:
 def _template_rows() -> tuple[str, str]:
     """VALUES of the templates (number, licence, words) and of their phrases (number, start, end)."""
     texts, phrases = [], []
-    for k, t in enumerate(TEMPLATES):
+    for k, t in enumerate(SQL_TEMPLATES):
         words = _split(t.text)
         texts.append(f"({k}, '{t.license_id}', {_sql_list(words)})")
         for phrase in t.phrases:
@@ -197,7 +241,7 @@ def _template_rows() -> tuple[str, str]:
     return ", ".join(texts), ", ".join(phrases)
 
 
-#: The same in DuckDB.
+#: In DuckDB, by SQL_TEMPLATES.
 LICENSES_SQL = f"""
 WITH t(tid, license_id, tw) AS (VALUES {_template_rows()[0]}), p(tid, a, b) AS (VALUES {_template_rows()[1]}),
 d AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD_RE}') AS words FROM documents WHERE doc_id IS NOT NULL AND length(text) > 0),

@@ -67,3 +67,10 @@ def test_edges(spark, make):
 
 def test_sql(spark):
     compare(op4_license_scan(spark, f"{DATA}/sf0.01"), lic.LICENSES_SQL, connection("sf0.01"))
+
+
+def test_headers_titles_and_spdx_lines(spark, make):
+    gnu = "under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    texts = [gnu.format("", 3), gnu.format("", 2), gnu.format("Lesser ", "2.1"), gnu.format("Affero ", 3), "GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007", "// SPDX-License-Identifier: GPL-2.0-or-later", "# SPDX-License-Identifier: MIT", "It is available under the MIT License."]
+    want = ["GPL-3.0", "GPL-2.0", "LGPL-2.1", "AGPL-3.0", "GPL-3.0", "GPL-2.0", "MIT", "MIT"]
+    assert rows(lic.license_notices(make(texts)), "doc_id", "license_id") == list(enumerate(want))
