@@ -8,13 +8,28 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest estimated size of a table that is collected or broadcast.
-BROADCAST_BYTES = 32_000_000
-
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only a session that names none (a test) gets one of its own."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "gridcast-shared")
+    """The session's ``spark.checkpoint.dir``, or the checkpoint folder that its context was given.
+
+    Where neither is set, a session in one JVM gets a folder of its own; on a
+    cluster that folder wouldn't be shared, so this raises ``ValueError``.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "gridcast-shared")
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """A column name like this one that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def cut(df: DataFrame) -> DataFrame:
