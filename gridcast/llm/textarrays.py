@@ -96,20 +96,19 @@ class Words:
         self.row = np.searchsorted(off, self.start, side="right") - 1
         #: the words of row i are first[i] to first[i + 1]
         self.first = np.searchsorted(self.start, off)
-        self.hash = self._hash()
+        self._total = np.zeros(len(raw) + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum(raw * _power_tables(len(raw) + 1)[0][: len(raw)], out=self._total[1:])
+        self.hash = self.hash_of(self.start, self.end)
 
     def __len__(self) -> int:
         return len(self.start)
 
-    def _hash(self) -> np.ndarray:
-        """A polynomial of each word's bytes, from prefix sums over the buffer, scrambled."""
-        power, inverse = _power_tables(len(self.raw) + 1)
-        total = np.empty(len(self.raw) + 1, np.uint64)
-        total[0] = 0
+    def hash_of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A polynomial of the bytes of each range, from prefix sums over the buffer, scrambled."""
         with np.errstate(over="ignore"):
-            np.cumsum(self.raw * power[: len(self.raw)], out=total[1:])
-            value = (total[self.end] - total[self.start]) * inverse[self.start]
-        return mix64(value + (self.end - self.start).astype(np.uint64))
+            value = (self._total[end] - self._total[start]) * _power_tables(len(self.raw) + 1)[1][start]
+        return mix64(value + (end - start).astype(np.uint64))
 
     def texts(self, index: np.ndarray) -> list[str]:
         raw = self.raw.tobytes()

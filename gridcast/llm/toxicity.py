@@ -3,8 +3,8 @@
 Words are scored by the log-odds of toxic against clean labelled texts with an
 informative Dirichlet prior, their frequency in the whole corpus, drawn
 towards 0 by ``Z`` standard deviations; every word also costs ``DRIFT``, so that text at large
-scores below 0.  A word without a score of its own, or with a lower one, gets that of its beginning, for insults
-are inflected and compounded at will.  A linear scan (Ruzzo and Tompa) finds all maximal scoring
+scores below 0.  A word that no clean text of the sample has is also scored by its first letters, for insults
+are inflected and compounded at will; a word of clean texts has its own score only.  A linear scan (Ruzzo and Tompa) finds all maximal scoring
 segments of a text.  Under clean text the best score of m words has
 extreme-value tails, P(S >= x) = 1 - exp(-K m exp(-lambda x)) (Karlin and
 Altschul): lambda comes from the score distribution of clean text and K from
@@ -31,50 +31,49 @@ Z = 1.64
 DRIFT = 1.0
 #: Largest probability under clean text at which a passage, and a document, is significant.
 ALPHA = 1e-4
-#: A word must occur in so many toxic texts of the sample to score above 0.
-MIN_COUNT = 3
 
-
-#: Numbers of leading bytes that stand for all longer words that begin alike.
+#: Numbers of leading letters that stand for all longer words that begin alike.
 STEMS = (5, 7)
 
 
 def stems(words: Words) -> list[np.ndarray]:
-    """For each of STEMS, a hash of the first bytes of each word that has more; 0 for shorter words."""
+    """For each of STEMS, a hash of the first letters of each word that has more; 0 for shorter words."""
+    letters = np.flatnonzero((words.raw & 0xC0) != 0x80)  # where a character begins
+    first = np.searchsorted(letters, words.start)
+    size = np.searchsorted(letters, words.end) - first
     out = []
-    for size in STEMS:
-        long = np.flatnonzero(words.end - words.start > size)
-        code = np.full(len(long), size, np.uint64)
-        for k in range(size):
-            code = (code << np.uint64(8)) | words.raw[words.start[long] + k].astype(np.uint64)
+    for n in STEMS:
+        long = np.flatnonzero(size > n)
         part = np.zeros(len(words), np.uint64)
-        part[long] = mix64(code)
+        part[long] = mix64(words.hash_of(words.start[long], letters[first[long] + n]) + np.uint64(n))
         out.append(part)
     return out
 
 
 @dataclass(frozen=True)
 class Model:
-    """Scores of words and stems by hash (all others score 0), before the drift, and the tails' parameters."""
+    """Scores of words and stems by hash (all others score 0), before the drift, which of them clean texts have, and the tails' parameters."""
 
     value: np.ndarray
     score: np.ndarray
+    clean: np.ndarray
     rate: float
     scale: float
 
 
 def word_scores(words: Words, model: Model) -> np.ndarray:
-    """The score of each word; a word that repeats the one before it scores once."""
+    """The score of each word; a word that repeats the one before it in its text scores once."""
     if not len(model.value):
         return np.full(len(words), -DRIFT)
 
-    def of(h: np.ndarray) -> np.ndarray:
+    def of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(model.value, h), len(model.value) - 1)
-        return np.where(model.value[at] == h, model.score[at], 0.0)
+        known = model.value[at] == h
+        return np.where(known, model.score[at], 0.0), known & model.clean[at]
 
-    own = of(words.hash)
-    score = np.where(own < 0, own, np.maximum.reduce([own, *map(of, stems(words))]))
-    score[1:][words.hash[1:] == words.hash[:-1]] = 0.0
+    own, clean = of(words.hash)
+    score = np.where(clean, own, np.maximum.reduce([own, *(of(x)[0] for x in stems(words))]))
+    score[1:][(words.hash[1:] == words.hash[:-1]) & (words.row[1:] == words.row[:-1])] = 0.0
     return score - DRIFT
 
 
@@ -121,11 +120,24 @@ def tail(expected: float, r: int) -> float:
 
 
 def document_p(scores: list[float], words: int, model: Model) -> float:
-    """P of such segments under clean text: the best of the ranks r, each weighed by 2**r."""
-    best = 1.0
-    for r, s in enumerate(sorted(scores, reverse=True)[:50], 1):
-        best = min(best, tail(model.scale * words * np.exp(-model.rate * s), r) * 2.0**r)
-    return best
+    """P of such segments under clean text: the least over all ranks r of the tail of r segments, weighed by 2**r.
+
+    Where a quarter of r or more are expected, the weighed tail exceeds 1.
+    """
+    s = np.sort(np.asarray(scores, float))[::-1]
+    r = np.arange(1, len(s) + 1)
+    with np.errstate(divide="ignore"):
+        log_mean = np.log(model.scale) + np.log(words) - model.rate * s
+    some = np.flatnonzero(log_mean < np.log(r / 4))
+    if not len(some):
+        return 1.0
+    mean, n = np.exp(log_mean[some]), r[some]
+    term, series = np.ones(len(n)), np.ones(len(n))
+    for k in range(1, 40):
+        term = term * mean / (n + k)
+        series += term
+    log_p = n * (log_mean[some] + np.log(2.0)) - mean - np.cumsum(np.log(r))[some] + np.log(series)
+    return float(min(1.0, np.exp(log_p.min())))
 
 
 def _count_words(value: np.ndarray | None) -> Callable:
@@ -203,12 +215,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts = labelled.where("not held").select("toxic", "text").mapInArrow(_count_words(None), columns).groupBy("word").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("clean")
     )
-    counts = counts.where((F.col("toxic") >= MIN_COUNT) | (F.col("word") == 0)).toArrow()
+    counts = counts.toArrow()  # the words of 2 * sample texts
     word = counts["word"].to_numpy().view(np.uint64)
     order_ = np.argsort(word)
     word, toxic, clean = word[order_], counts["toxic"].to_numpy()[order_], counts["clean"].to_numpy()[order_]
     if not len(word) or word[0] != 0 or not toxic[0] or not clean[0]:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), 1.0, 1.0)
+        return Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, bool), 1.0, 1.0)
     n_toxic, n_clean, word, toxic, clean = int(toxic[0]), int(clean[0]), word[1:], toxic[1:], clean[1:]
 
     everywhere = texts.select(F.lit(0).alias("toxic"), "text").mapInArrow(_count_words(word), columns).groupBy("word").agg(F.sum("n").alias("n")).toArrow()
@@ -218,12 +230,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     inside = seen != 0
     corpus[np.searchsorted(word, seen[inside])] = n[inside]
     score, share = log_odds(toxic, clean, corpus, n_toxic, n_clean, n_corpus)
-    keep = score != 0
-    model = Model(word[keep], score[keep], decay(score[keep], share[keep]), 1.0)
+    score = np.where(toxic > 0, score, 0.0)  # a word is no evidence of clean text by its absence here
+    keep = (score != 0) | (clean > 0)
+    counted = score != 0
+    model = Model(word[keep], score[keep], clean[keep] > 0, decay(score[counted], share[counted]), 1.0)
 
     held = labelled.where("held").select("text").mapInArrow(_held_back(model), "n long, total double").agg(F.sum("n"), F.sum("total")).first()
     scale = held[0] / held[1] if held[0] and held[1] else 1.0
-    return Model(model.value, model.score, model.rate, scale)
+    return Model(model.value, model.score, model.clean, model.rate, scale)
 
 
 def _held_back(model: Model) -> Callable:
@@ -277,9 +291,9 @@ def toxic_passages(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """Documents with toxic text: ``(doc_id, passages, best_score, p_value)``, a row for each such row of docs.
 
     ``p_value`` is that of the document; ``passages`` are its significant
-    segments (words from 0, end exclusive), or the best one where only all together are significant.
+    segments (words from 0, end exclusive), or the best one (of equal ones the first) where only all together are significant.
 
-    Null and empty texts are never toxic.  Null ids keep their rows.  A label other than
+    Texts are scanned to their end, however long, and each by itself.  Null and empty texts are never toxic.  Null ids keep their rows.  A label other than
     0 and 1 is none; of several labels of one id the worst counts.  Without labels of both
     classes nothing is found.  Repeated rows give a row each; other columns are ignored.
     """
