@@ -94,15 +94,16 @@ class Shard:
         return held[best], self.ids[some[best]]
 
 
-def _search(queries: list[tuple[int, np.ndarray, np.ndarray]], value: np.ndarray, idf: np.ndarray, mean: float, k: int) -> Callable:
+def _search(queries: list[tuple[int, int, np.ndarray, np.ndarray]], value: np.ndarray, idf: np.ndarray, mean: float, k: int) -> Callable:
     def answer(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
         term, doc, tf, ids, length = (np.concatenate(x) for x in zip(*parts))
         impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean))
         shard = Shard(term, doc, impact, ids, len(value))
-        out = [(q, *shard.search(terms, weight, k)) for q, terms, weight in queries]
-        size = [len(s) for _, s, _ in out]
+        out = [(item, query, *shard.search(terms, weight, k)) for item, query, terms, weight in queries]
+        items, numbers, scores, found = zip(*out)
+        size = [len(s) for s in scores]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(np.array([q for q, _, _ in out], np.int64), size)), pa.array(np.concatenate([d for _, _, d in out])), pa.array(np.concatenate([s for _, s, _ in out]))], ["item_id", "doc_id", "score"]
+            [pa.array(np.repeat(np.array(items, np.int64), size)), pa.array(np.repeat(np.array(numbers, np.int32), size)), pa.array(np.concatenate(found)), pa.array(np.concatenate(scores))], ["item_id", "query", "doc_id", "score"]
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,38 +128,42 @@ def _search(queries: list[tuple[int, np.ndarray, np.ndarray]], value: np.ndarray
 
 
 def top_documents(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
-    """The k best documents of each query: ``(item_id, doc_id, score, rank)``; fewer where fewer share a word with it.
+    """The k best documents of each query: ``(item_id, query, doc_id, score, rank)``; fewer where fewer share a word with it.
 
     ``queries`` has ``item_id`` and ``text``; every row is a query, and a word that it repeats counts as often.
-    Every row of docs is a document: repeated rows take several ranks.
+    ``query`` numbers the rows of an ``item_id`` from 1 in the order of their texts, so repeated rows
+    and further texts of an item have ranks of their own.
+    Every row of docs is a document: repeated rows take several ranks.  Of equal scores the lower id comes first.
 
     Rows with a null id or text are left out on both sides; a text without
     words counts for the number of documents, and as a query it finds
-    nothing.  An empty table on either side gives no row.  Other columns are ignored.
+    nothing.  Texts of any length are read to their end.  An empty table on either side gives no row.
+    Other columns, whatever their names, are ignored.
     """
     used = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     asked = queries.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text")
+    asked = asked.withColumn("query", F.row_number().over(Window.partitionBy("item_id").orderBy("text")))
     size = asked.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // QUERY_BLOCK))
     found = None
     for block in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
+        rows = asked.where(F.pmod(F.xxhash64("item_id", "query"), F.lit(blocks)) == block).orderBy("item_id", "query").collect()
         words = Words(pa.array([r.text for r in rows], pa.string()))
         value = np.unique(words.hash)
         if not len(value):
             continue
         place = np.searchsorted(value, words.hash)
         counts = [Counter(place[words.first[i] : words.first[i + 1]].tolist()) for i in range(len(rows))]
-        wanted = [(r.item_id, np.array(list(c)), np.array(list(c.values()), float)) for r, c in zip(rows, counts) if c]
+        wanted = [(r.item_id, r.query, np.array(list(c)), np.array(list(c.values()), float)) for r, c in zip(rows, counts) if c]
         n = {r.place: r.n for r in used.mapInArrow(_statistics(value), "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()}
         documents, mean = n.get(len(value), 0), n.get(len(value) + 1, 0) / max(1, n.get(len(value), 0))
         frequency = np.array([n.get(i, 0) for i in range(len(value))], float)
         idf = np.log(1 + (documents - frequency + 0.5) / (frequency + 0.5))
-        part = used.mapInArrow(_search(wanted, value, idf, max(mean, 1e-9), k), "item_id long, doc_id long, score double")
+        part = used.mapInArrow(_search(wanted, value, idf, max(mean, 1e-9), k), "item_id long, query int, doc_id long, score double")
         found = part if found is None else found.unionByName(part)
     if found is None:
-        return docs.sparkSession.createDataFrame([], "item_id long, doc_id long, score double, rank int")
-    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
+        return docs.sparkSession.createDataFrame([], "item_id long, query int, doc_id long, score double, rank int")
+    place = F.row_number().over(Window.partitionBy("item_id", "query").orderBy(F.desc("score"), "doc_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k)
 
 
@@ -169,9 +174,10 @@ l AS (SELECT doc_id, count(*) AS len FROM d GROUP BY doc_id),
 s AS (SELECT (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL) AS n, (SELECT sum(len) FROM l) AS total),
 tf AS (SELECT doc_id, w, count(*) AS tf FROM d GROUP BY doc_id, w),
 df AS (SELECT w, count(*) AS df FROM tf GROUP BY w),
-q AS (SELECT item_id, w, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '{WORD_RE}')) AS w FROM benchmark) GROUP BY item_id, w),
-r AS (SELECT item_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {K1 + 1} / (tf + {K1} * ({1 - B} + {B} * len / (total / n)))), 6) AS score
-  FROM q JOIN tf USING (w) JOIN df USING (w) JOIN l USING (doc_id) CROSS JOIN s GROUP BY item_id, doc_id)
-SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= {K}
+a AS (SELECT item_id, text, row_number() OVER (PARTITION BY item_id ORDER BY text) AS query FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+q AS (SELECT item_id, query, w, count(*) AS qtf FROM (SELECT item_id, query, unnest(regexp_extract_all(lower(text), '{WORD_RE}')) AS w FROM a) GROUP BY ALL),
+r AS (SELECT item_id, query, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {K1 + 1} / (tf + {K1} * ({1 - B} + {B} * len / (total / n)))), 6) AS score
+  FROM q JOIN tf USING (w) JOIN df USING (w) JOIN l USING (doc_id) CROSS JOIN s GROUP BY item_id, query, doc_id)
+SELECT item_id, CAST(query AS INTEGER) AS query, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id, query ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= {K}
 """

@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from conftest_llm import rows
@@ -69,15 +70,29 @@ def test_edges(spark, make):
     out = topk.top_documents(docs, bench(spark, [(1, "RED"), (2, None), (None, "red"), (3, ""), (4, "blue!"), (5, "red"), (5, "red")]))
     assert rows(out.where("item_id = 1"), "doc_id", "rank") == [(1, 1), (1, 2)]
     assert {r.item_id for r in out.collect()} == {1, 4, 5}
+    assert rows(out.where("item_id = 5"), "query", "doc_id", "rank") == [(1, 1, 1), (1, 1, 2), (2, 1, 1), (2, 1, 2)]
     assert topk.top_documents(make([]), bench(spark, [(1, "red")])).count() == 0
     assert topk.top_documents(docs, bench(spark, [])).count() == 0
 
 
+def test_repeated_queries_and_the_sql(spark, make, tmp_path):
+    rnd = random.Random(4)
+    docs = make([(d, " ".join(rnd.choices("red blue green fish bird".split(), k=rnd.randint(1, 9)))) for d in range(40)])
+    queries = bench(spark, [(5, "red"), (5, "red"), (5, "blue fish"), (6, "bird bird green")])
+    got = topk.top_documents(docs, queries)
+    assert len({r.doc_id for r in got.where("item_id = 5 and query = 3").collect()}) == 10
+    docs.write.parquet(str(tmp_path / "d")), queries.write.parquet(str(tmp_path / "q"))
+    con = duckdb.connect()
+    for name, path in (("documents", "d"), ("benchmark", "q")):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path / path}/*.parquet'")
+    compare(got, topk.TOP_SQL, con)
+
+
 def test_blocks_of_queries(spark, make, monkeypatch):
     docs, queries = make(["red fish", "blue fish", "one two"]), bench(spark, [(k, w) for k, w in enumerate(["red", "blue", "fish", "two"])])
-    whole = rows(topk.top_documents(docs, queries), "item_id", "doc_id", "score", "rank")
+    whole = rows(topk.top_documents(docs, queries), "item_id", "query", "doc_id", "score", "rank")
     monkeypatch.setattr(topk, "QUERY_BLOCK", 5)
-    assert rows(topk.top_documents(docs, queries), "item_id", "doc_id", "score", "rank") == whole
+    assert rows(topk.top_documents(docs, queries), "item_id", "query", "doc_id", "score", "rank") == whole
 
 
 def test_sql(spark):
