@@ -4,41 +4,44 @@ Texts are sequences of words.  An item of n words *leaks* into a document when
 some stretch of the document is within ``tolerance(n)`` word edits
 (insert, delete, replace) of it.
 
-1. Every word position of every document starts a window for each size class
+1. Every word position of every document starts a window of n words for each length n
    of items.  A window within k edits of an item of n words shares at least
    n - 2 - 3k word trigrams with it, so windows with fewer trigrams known to an
-   item of the class are dropped.  So are windows that start more than 4k words
+   item of that length are dropped.  So are windows that start more than 4k words
    before the first of these: k edits spare one of any 3k + 1 trigrams.  Known trigrams sit in
-   a bit map of fixed size, alone and with their class; a false bit only keeps a window.
+   a bit map that is sized by their number, alone and with their length; a false bit only keeps a
+   window.  Items of one or two words are looked up by all of them.
 2. A window and an item are embedded by the CGK random walk: at each step the
    current word is put out, and a random function of step and word says
    whether to advance.  Small edit distance becomes small Hamming distance.
-   ``WALKS`` walks, each sampled ``BANDS`` times at ``SAMPLES`` steps, give the
-   keys on which windows and items are joined.
-3. Each pair that meets is verified by the exact edit distance.
+   Each walk is sampled at ``STEPS`` steps, some of which make a key, and on the
+   keys windows and items are joined.  There are as many walks, and as few steps in a key, as reach the target
+   recall for items with all the edits allowed (``repetitions``).
+3. Windows lie in *segments*, the stretches of a document that they cover together.
+   Each segment and item that meet are verified by the exact edit distance of the item to every stretch of the segment.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, node_id
+from .common import cut, node_id, spare
 from .textarrays import Words, column_of, mix64, slices, windows_of
 
 TOLERANCE = 0.2
-#: Shorter items have no trigram and are no evidence of a leak.
-MIN_WORDS = 3
-WALKS, BANDS, SAMPLES = 6, 6, 3
-_MAP_BITS = 24
-#: Items of _CLASSES[i] to _CLASSES[i + 1] - 1 words are looked up by their first _CLASSES[i] words.
-_CLASSES = [3]
-while _CLASSES[-1] < 1 << 20:
-    _CLASSES.append(max(_CLASSES[-1] + 1, _CLASSES[-1] * 5 // 4))
+#: Share of the items with all edits allowed that meet the window at their place.
+RECALL = 0.95
+#: Steps at which a walk is sampled, and walks beyond which a key takes fewer of them.
+STEPS, WALKS = 18, 8
+GRAM = 3
+#: Cells of the arrays that are worked on at once.
+CELLS = 1 << 20
 
 
 def tolerance(n: np.ndarray | int, share: float = TOLERANCE) -> np.ndarray:
@@ -47,203 +50,304 @@ def tolerance(n: np.ndarray | int, share: float = TOLERANCE) -> np.ndarray:
     return np.maximum(0, np.minimum((n * share + 1e-9).astype(np.int64), (n - 3) // 3))
 
 
-def _class_of(n: np.ndarray) -> np.ndarray:
-    return np.searchsorted(_CLASSES, n, side="right") - 1
+def _cgk_keys(words: np.ndarray, walks: int, samples: int) -> np.ndarray:
+    """walks * STEPS / samples keys for each row of words (uint64; 0 is the end)."""
+    rows, n = words.shape
+    steps, bands = 2 * n, STEPS // samples
+    padded = np.concatenate([words, np.zeros((rows, 1), np.uint64)], 1)
+    taken = np.stack([np.random.default_rng((n, walk)).integers(0, steps, (bands, samples)) for walk in range(walks)])
+    wanted: dict[int, list[tuple[int, int, int]]] = {}
+    for (walk, band, k), step in np.ndenumerate(taken):
+        wanted.setdefault(int(step), []).append((walk, band, k))
+    put = np.zeros((rows, walks, bands, samples), np.uint64)
+    at = np.zeros((rows, walks), np.int64)
+    row = np.arange(rows)[:, None]
+    walk_noise = np.arange(1, walks + 1, dtype=np.uint64) << np.uint64(40)
+    for step in range(steps):
+        word = padded[row, at]
+        for walk, band, k in wanted.get(step, ()):
+            put[:, walk, band, k] = word[:, walk]
+        at += ((mix64(word ^ mix64(walk_noise + np.uint64(step))) & np.uint64(1)) > 0) & (at < n)
+    key = np.broadcast_to(mix64(np.arange(walks * bands, dtype=np.uint64).reshape(walks, bands) + np.uint64(n << 20)), (rows, walks, bands)).copy()
+    with np.errstate(over="ignore"):
+        for k in range(samples):
+            key = mix64(key * np.uint64(0x100000001B3) + put[..., k])
+    return key.reshape(rows, -1).view(np.int64)
+
+
+@lru_cache(1000)
+def _met(n: int, share: float, samples: int) -> np.ndarray:
+    """Of random items of n words with ``tolerance(n)`` random edits, the share that has met the edited text after each of 4 * WALKS walks."""
+    rng = np.random.default_rng(n)
+    items = rng.integers(1, 1 << 62, (200, n)).astype(np.uint64)
+    texts = np.zeros_like(items)
+    for k, item in enumerate(items.tolist()):
+        for _ in range(int(tolerance(n, share))):
+            place, kind = int(rng.integers(len(item))), int(rng.integers(3))
+            item[place : place + (kind > 0)] = [] if kind == 2 else [int(rng.integers(1, 1 << 62))]
+        texts[k] = (item + rng.integers(1, 1 << 62, n).tolist())[:n]
+    walks = 4 * WALKS if samples == 1 else WALKS
+    met = (_cgk_keys(items, walks, samples) == _cgk_keys(texts, walks, samples)).reshape(len(items), walks, -1).any(2)
+    return np.logical_or.accumulate(met, axis=1).mean(0)
+
+
+def repetitions(n: int, share: float = TOLERANCE, recall: float = RECALL) -> tuple[int, int]:
+    """Walks, and steps in a key, for items of n words: as many steps as reach the recall in WALKS walks, 3 at most.
+
+    Lengths are rounded up by a fifth at most.  Above 1,024 words the walks grow
+    with the root of the length, as the chance of a single walk to meet falls no faster.
+    """
+    if not tolerance(n, share):
+        return 1, 3
+    size = 8
+    while size < min(n, 1024):
+        size = min(1024, max(size + 1, size * 6 // 5))
+    for samples in (3, 2, 1):
+        reached = _met(size, share, samples)
+        if reached[-1] >= recall or samples == 1:
+            walks = int((reached >= recall).argmax()) + 1 if reached[-1] >= recall else int(np.ceil(len(reached) * np.log(1 - recall) / np.log(max(1e-9, 1 - reached[-1]))))
+            return int(np.ceil(walks * max(1.0, n / 1024) ** 0.5)), samples
+    raise AssertionError
 
 
-def _fold(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+class _Bits:
+    """A set of numbers as bits by their uppermost ones; may hold others as well."""
 
+    def __init__(self, data: bytes, width: int):
+        self.data, self.shift = np.frombuffer(data, np.uint8), np.uint64(64 - width)
 
-def _noise(walk: int, n: int) -> np.ndarray:
-    return mix64(np.arange(n, dtype=np.uint64) + np.uint64((walk + 1) << 40))
+    def has(self, value: np.ndarray) -> np.ndarray:
+        place = (value >> self.shift).astype(np.int64)
+        return (self.data[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
 
 
-def _bits(trigram: np.ndarray, klass: int | None = None) -> np.ndarray:
-    """Places of trigrams in the bit map, alone or as those of a class."""
-    if klass is not None:
-        trigram = mix64(trigram + np.uint64(klass + 1))
-    return (trigram >> np.uint64(64 - _MAP_BITS)).astype(np.int64)
+def _gram(n: int) -> int:
+    return min(GRAM, n)
 
 
-def cgk_keys(words: np.ndarray, length: int, klass: int) -> np.ndarray:
-    """WALKS * BANDS keys for each row of words (uint32, its first ``length`` columns; 0 is the end)."""
-    n, steps = len(words), 2 * length
-    out = np.empty((n, WALKS * BANDS), np.int32)
-    rows = np.arange(n)
-    padded = np.concatenate([words[:, :length], np.zeros((n, 1), words.dtype)], 1)
-    for walk in range(WALKS):
-        noise = _noise(walk, steps)
-        put = np.empty((steps, n), np.uint64)
-        at = np.zeros(n, np.int64)
-        for step in range(steps):
-            word = padded[rows, at].astype(np.uint64)
-            put[step] = word
-            at += ((mix64(word ^ noise[step]) & np.uint64(1)) > 0) & (at < length)
-        random = np.random.default_rng(1000 * klass + walk)
-        for band in range(BANDS):
-            key = np.full(n, (klass * WALKS + walk) * BANDS + band, np.uint64)
-            for step in random.choice(steps, SAMPLES, replace=False):
-                key = mix64(key * np.uint64(0x100000001B3) + put[step])
-            out[:, walk * BANDS + band] = _fold(key)
-    return out
+def _of_length(grams: np.ndarray, n: int) -> np.ndarray:
+    return mix64(grams + np.uint64(n))
 
 
-def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text = column_of(batch, "text")
         for a, b in slices(text):
             words = Words(text.slice(a, b - a))
-            ids = column_of(batch, "item_id").slice(a, b - a).to_pylist()
+            size = np.diff(words.first)
+            lists = pa.ListArray.from_arrays(pa.array(words.first.astype(np.int32)), pa.array(words.hash.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([column_of(batch, "item_id").slice(a, b - a), pa.array(size.astype(np.int32)), lists], ["item_id", "n", "item"])
+
+
+def _item_keys(walks: dict[int, tuple[int, int]]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for i, item in enumerate(ids):
-                h = words.hash[words.first[i] : words.first[i + 1]]
-                if len(h) < MIN_WORDS:
-                    continue
-                klass = int(_class_of(len(h)))
-                trigrams, _ = windows_of(h, np.array([0, len(h)]), 3)
-                keys = cgk_keys(_fold(h).view(np.uint32)[None, :], min(_CLASSES[klass], len(h)), klass)
-                out.append({"item_id": item, "klass": klass, "item": _fold(h).tolist(), "grams": np.unique(np.concatenate([_bits(trigrams), _bits(trigrams, klass)])).tolist(), "keys": np.unique(keys).tolist()})
+            for item_id, n, item in zip(*(column_of(batch, k).to_pylist() for k in ("item_id", "n", "item"))):
+                h = np.array(item, np.int64).view(np.uint64)
+                grams, _ = windows_of(h, np.array([0, n]), _gram(n))
+                grams = mix64(grams)
+                out.append({"item_id": item_id, "n": n, "grams": np.concatenate([grams, _of_length(grams, n)]).view(np.int64).tolist(), "keys": np.unique(_cgk_keys(h[None, :], *walks[n])).tolist()})
             if out:
-                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("item_id", pa.int64()), ("klass", pa.int32()), ("item", pa.list_(pa.int32())), ("grams", pa.list_(pa.int64())), ("keys", pa.list_(pa.int32()))]))
+                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("item_id", pa.int64()), ("n", pa.int32()), ("grams", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))]))
 
+    return run
+
+
+def _starts(words: Words, lengths: list[int], known: _Bits, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """First words and lengths of the windows with enough known trigrams."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for size in sorted({_gram(n) for n in lengths}):
+        grams, index = windows_of(words.hash, words.first, size)
+        grams = mix64(grams)
+        met = known.has(grams)
+        grams, index = grams[met], index[met]
+        if not len(index):
+            continue
+        for n in (n for n in lengths if _gram(n) == size):
+            edits = int(tolerance(n, share))
+            need, reach = max(1, n - size + 1 - size * edits), n + edits
+            hits = index[known.has(_of_length(grams, n))]
+            if len(hits) < need:
+                continue
+            # need hits from hits[j] on lie in the window of each start from reach before the last of them up to hits[j]
+            end = hits[need - 1 :]
+            begin = hits[: len(end)]
+            ok = (words.row[begin] == words.row[end]) & (end - begin <= reach - size)
+            begin, end = begin[ok], end[ok]
+            since = np.maximum(np.maximum(end - reach + size, begin - 4 * edits), words.first[words.row[begin]])
+            mark = np.zeros(len(words) + 1, np.int32)
+            np.add.at(mark, since, 1)
+            np.add.at(mark, begin + 1, -1)
+            start = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+            found.append((start, np.full(len(start), n)))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+_WINDOWS = pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("segment", pa.int32()), ("words", pa.list_(pa.int64())), ("start", pa.int32()), ("n", pa.int32()), ("keys", pa.list_(pa.int64()))])
+
+
+def _window_rows(bits: Callable[[], _Bits], walks: dict[int, tuple[int, int]], share: float) -> Callable:
+    """A row with words for each segment, and one with keys for each window."""
+    lengths = sorted(walks)
 
-def _window_rows(bitmap: bytes, classes: list[int], share: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little")
+        known = bits()
         for batch in batches:
             text = column_of(batch, "text")
             for a, b in slices(text):
                 words = Words(text.slice(a, b - a))
-                trigram, index = windows_of(words.hash, words.first, 3)
-                met = known[_bits(trigram)] > 0
-                trigram, index = trigram[met], index[met]
-                if not len(index):
+                start, n = _starts(words, lengths, known, share)
+                if not len(start):
                     continue
-                folded = np.concatenate([_fold(words.hash).view(np.uint32), np.zeros(1, np.uint32)])
-                last = words.first[1:][words.row]  # the end of each word's document
-                for klass in classes:
-                    low, high = _CLASSES[klass], _CLASSES[klass + 1] - 1
-                    sizes = np.arange(low, high + 1)
-                    need = max(1, int((sizes - 2 - 3 * tolerance(sizes, share)).min()))
-                    edits = int(tolerance(high, share))
-                    reach = high + edits
-                    hits = index[known[_bits(trigram, klass)] > 0]
-                    if len(hits) < need:
-                        continue
-                    # need hits from hits[j] on lie in the window of each start from reach before the last of them up to hits[j]
-                    end = hits[need - 1 :]
-                    begin = hits[: len(end)]
-                    ok = (words.row[begin] == words.row[end]) & (end - begin <= reach - 3)
-                    begin, end = begin[ok], end[ok]
-                    since = np.maximum(np.maximum(end - reach + 3, begin - 4 * edits), words.first[words.row[begin]])
-                    mark = np.zeros(len(words) + 1, np.int32)
-                    np.add.at(mark, since, 1)
-                    np.add.at(mark, begin + 1, -1)
-                    start = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
-                    for k in range(0, len(start), 4096):
-                        at = start[k : k + 4096]
-                        span = np.arange(reach)
-                        grid = at[:, None] + span
-                        window = np.where(grid < last[at][:, None], folded[np.minimum(grid, len(words))], 0)
-                        keys = cgk_keys(window, low, klass)
-                        size = np.minimum(reach, last[at] - at)
-                        flat = window[span < size[:, None]].view(np.int32)
-                        row = words.row[at]
+                order = np.lexsort((n, start))
+                start, n = start[order], n[order]
+                last = words.first[1:][words.row[start]]  # the end of the window's document
+                stop = np.minimum(start + n + tolerance(n, share), last)
+                reach = np.maximum.accumulate(stop)
+                new = np.concatenate([[True], start[1:] >= reach[:-1]])
+                low = np.flatnonzero(new)
+                segment = start[low]
+                size = np.maximum.reduceat(stop, low) - segment
+                node, doc = column_of(batch, "node").slice(a, b - a), column_of(batch, "doc_id").slice(a, b - a)
+
+                def of(at: np.ndarray) -> list[pa.Array]:  # document and segment of windows or segments at these words
+                    row = pa.array(words.row[at])
+                    return [node.take(row), doc.take(row)]
+
+                flat = np.repeat(segment - np.concatenate([[0], np.cumsum(size)])[:-1], size) + np.arange(size.sum())
+                whole = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(words.hash[flat].view(np.int64)))
+                none = pa.nulls(len(low), pa.int32())
+                yield pa.RecordBatch.from_arrays([*of(segment), pa.array((segment - words.first[words.row[segment]]).astype(np.int32)), whole, none, none, pa.nulls(len(low), pa.list_(pa.int64()))], schema=_WINDOWS)
+                of_segment = segment[np.cumsum(new) - 1]
+                padded = np.append(words.hash, np.uint64(0))
+                for length in np.unique(n).tolist():
+                    mine = np.flatnonzero(n == length)
+                    step = max(1, CELLS // (length + walks[length][0] * STEPS))
+                    for k in range(0, len(mine), step):
+                        part = mine[k : k + step]
+                        at = start[part]
+                        grid = at[:, None] + np.arange(length)
+                        window = np.where(grid < last[part][:, None], padded[np.minimum(grid, len(words))], np.uint64(0))
+                        keys = _cgk_keys(window, *walks[length])
+                        base = words.first[words.row[at]]
                         yield pa.RecordBatch.from_arrays(
                             [
-                                column_of(batch, "node").slice(a, b - a).take(pa.array(row)),
-                                column_of(batch, "doc_id").slice(a, b - a).take(pa.array(row)),
-                                pa.array((at - words.first[row]).astype(np.int32)),
-                                pa.array(np.full(len(at), klass, np.int32)),
-                                pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(flat)),
+                                *of(at),
+                                pa.array((of_segment[part] - base).astype(np.int32)),
+                                pa.nulls(len(at), pa.list_(pa.int64())),
+                                pa.array((at - base).astype(np.int32)),
+                                pa.array(np.full(len(at), length, np.int32)),
                                 pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)), pa.array(keys.ravel())),
                             ],
-                            ["node", "doc_id", "start_word", "klass", "words", "keys"],
+                            schema=_WINDOWS,
                         )
 
     return run
 
 
-def _lists(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """A list column as a zero-filled matrix of ``width`` columns, and its lengths."""
-    size = np.diff(column.offsets.to_numpy())
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    out = np.zeros((len(column), width), np.int32)
-    out[np.arange(width) < size[:, None]] = flat
-    return out, size
+def nearest_stretch(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each item the least edit distance to a stretch of its text, and the first word of the first such stretch; all at once.
 
-
-def prefix_edit_distance(item: np.ndarray, n: np.ndarray, text: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Least edit distance of each item (n words) to a prefix of its text (m words); all rows at once."""
-    width = text.shape[1]
+    Everything is taken backwards, so that a place in the last line of the table is where a stretch starts.
+    """
+    n, m = np.array([len(x) for x in items]), np.array([len(x) for x in texts])
+    width = int(m.max(initial=0))
+    item, text = np.zeros((len(items), int(n.max(initial=0))), np.int64), np.zeros((len(texts), width), np.int64)
+    for k, (x, y) in enumerate(zip(items, texts)):
+        item[k, : len(x)], text[k, : len(y)] = x[::-1], y[::-1]
     column = np.arange(width + 1)
-    line = np.broadcast_to(column, (len(item), width + 1)).astype(np.int32).copy()
-    best = np.where(n == 0, 0, np.iinfo(np.int32).max)
-    valid = column[None, :] <= m[:, None]
+    line = np.zeros((len(items), width + 1), np.int32)
+    last = line.copy()
     for i in range(1, item.shape[1] + 1):
         step = np.empty_like(line)
         step[:, 0] = i
         step[:, 1:] = np.minimum(line[:, 1:] + 1, line[:, :-1] + (text != item[:, i - 1 : i]))
-        # insertions along the row: step[j] = min over k <= j of step[k] + j - k
-        line = np.minimum.accumulate(step - column, axis=1) + column
+        # insertions along the line: step[j] = min over k <= j of step[k] + j - k
+        line = (np.minimum.accumulate(step - column, axis=1) + column).astype(np.int32)
         done = n == i
-        if done.any():
-            best[done] = np.where(valid[done], line[done], np.iinfo(np.int32).max).min(1)
-    return best
+        last[done] = line[done]
+    last[column[None, :] > m[:, None]] = np.iinfo(np.int32).max
+    best = last.min(1)
+    return best, m - (width - (last == best[:, None])[:, ::-1].argmax(1))
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(0, batch.num_rows, 2048):
-            part = batch.slice(k, 2048)
-            lists = [column_of(part, "item"), column_of(part, "words")]
-            widths = [int(np.diff(x.offsets.to_numpy()).max(initial=0)) for x in lists]
-            (item, n), (text, m) = (_lists(x, w) for x, w in zip(lists, widths))
-            distance = prefix_edit_distance(item, n, text, m)
-            yield pa.RecordBatch.from_arrays(
-                [column_of(part, "node"), column_of(part, "doc_id"), column_of(part, "item_id"), column_of(part, "start_word"), pa.array(distance.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(tolerance(n).astype(np.int32))],
-                ["node", "doc_id", "item_id", "start_word", "edits", "item_words", "allowed"],
-            )
-
-
-def _bitmap(items: DataFrame) -> bytes:
-    """The trigram bit map; at most 2**(_MAP_BITS - 6) rows are collected, whatever the number of items."""
-    bits = items.select(F.explode("grams").alias("gram")).groupBy((F.col("gram") / 64).cast("long").alias("word"))
-    rows = bits.agg(F.bit_or(F.expr("shiftleft(1L, cast(gram % 64 as int))")).alias("bits")).collect()
-    out = np.zeros(1 << (_MAP_BITS - 6), np.int64)
-    for row in rows:
-        out[row.word] = row.bits
-    return out.tobytes()
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _verify(share: float) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items, texts = (column_of(batch, k) for k in ("item", "words"))
+            n, m = (np.diff(x.offsets.to_numpy()) for x in (items, texts))
+            order = np.lexsort((m, n))
+            k = 0
+            while k < len(order):
+                stop = k + 1
+                while stop < len(order) and (stop + 1 - k) * max(m[order[k : stop + 1]]) <= CELLS and stop - k < 2048:
+                    stop += 1
+                part = order[k:stop]
+                edits, start = nearest_stretch(*([x[i].values.to_numpy(zero_copy_only=False) for i in part.tolist()] for x in (items, texts)))
+                at = pa.array(part)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(column_of(batch, c).take(at) for c in ("node", "doc_id", "item_id")),
+                        pa.array((column_of(batch, "segment").to_numpy()[part] + start).astype(np.int32)),
+                        pa.array(edits.astype(np.int32)),
+                        pa.array(n[part].astype(np.int32)),
+                        pa.array(edits <= tolerance(n[part], share)),
+                    ],
+                    ["node", "doc_id", "item_id", "start_word", "edits", "item_words", "near"],
+                )
+                k = stop
+
+    return run
+
+
+def _known(items: DataFrame) -> Callable[[], _Bits]:
+    """The bit map of the items' trigrams, 32 bits for each or more; it grows with the benchmark only."""
+    grams = items.select(F.explode("grams").alias("gram"))
+    width = max(16, int(32 * max(1, grams.count()) - 1).bit_length())
+    place = F.shiftrightunsigned("gram", 64 - width)
+    rows = grams.groupBy(F.shiftright(place, 3).alias("byte")).agg(F.bit_or(F.expr(f"shiftleft(1, cast(shiftrightunsigned(gram, {64 - width}) & 7 as int))")).alias("bits")).toArrow()
+    data = np.zeros(1 << (width - 3), np.uint8)
+    data[rows["byte"].to_numpy()] = rows["bits"].to_numpy()
+    shared = items.sparkSession.sparkContext.broadcast(data.tobytes())
+    return lambda: _Bits(shared.value, width)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = TOLERANCE, recall: float = RECALL) -> DataFrame:
     """Benchmark items found in documents: ``(doc_id, item_id, start_word, edits, item_words, node)``.
 
     One row for each document and item that leaks into it, with the least
-    edit distance and the first word (from 0) of such a stretch.  Every item
-    is looked for in every document; the stretch may lie anywhere.
+    edit distance and the first word (from 0) of the first stretch at it.  Every item
+    is looked for in every document; the stretch may lie anywhere.  ``share`` of the words of an item may be
+    edited, and ``recall`` of the items with so many edits are found at least; unedited ones all are.
 
     Documents with a null id and null or empty texts give no row, nor do items
-    with a null id or fewer than ``MIN_WORDS`` words.  Equal items are all
+    with a null id or without words.  Items and documents of any length are treated alike.  Equal items are all
     reported.  Rows repeated in either table don't repeat the result; equal
-    ids with other texts give a row each.  Other columns are ignored.
+    ids with other texts give a row each.  An empty table on either side gives no row.
+    Other columns, whatever their names, are ignored.
     """
-    items = cut(benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long"), "text").mapInArrow(_item_rows, "item_id long, klass int, item array<int>, grams array<long>, keys array<int>").distinct())
-    classes = sorted(r.klass for r in items.select("klass").distinct().collect())
+    named = benchmark.where(F.col("item_id").isNotNull() & (F.length("text") > 0)).select(F.col("item_id").cast("long"), "text")
+    items = cut(named.mapInArrow(_item_words, "item_id long, n int, item array<long>").where("n > 0").distinct())
+    walks = {r.n: repetitions(r.n, share, recall) for r in items.select("n").distinct().collect()}
+    marked = cut(items.mapInArrow(_item_keys(walks), "item_id long, n int, grams array<long>, keys array<long>"))
     used = docs.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(node_id(id_col, text_col).alias("node"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = used.mapInArrow(_window_rows(_bitmap(items), classes, TOLERANCE), "node long, doc_id long, start_word int, klass int, words array<int>, keys array<int>")
-    windows = cut(rows)
-    keyed = windows.select("node", "start_word", "klass", F.explode("keys").alias("key"))
-    pairs = keyed.join(items.select("item_id", "klass", F.explode("keys").alias("key")), ["klass", "key"]).select("node", "start_word", "klass", "item_id").distinct()
-    text = windows.select("node", "doc_id", "start_word", "klass", "words").dropDuplicates(["node", "start_word", "klass"])
-    found = pairs.join(text, ["node", "start_word", "klass"]).join(items.select("item_id", "klass", "item"), ["item_id", "klass"])
-    checked = found.select("node", "doc_id", "item_id", "start_word", "item", "words").mapInArrow(_verify, "node long, doc_id long, item_id long, start_word int, edits int, item_words int, allowed int")
-    best = checked.where("edits <= allowed").groupBy("node", "doc_id", "item_id").agg(F.min(F.struct("edits", "start_word", "item_words")).alias("best"))
+    rows = cut(used.mapInArrow(_window_rows(_known(marked), walks, share), "node long, doc_id long, segment int, words array<long>, start int, n int, keys array<long>"))
+    keyed = rows.where("keys is not null").select("node", "segment", F.explode("keys").alias("key")).distinct()
+    pairs = keyed.join(marked.select("item_id", "n", F.explode("keys").alias("key")), "key").select("node", "segment", "item_id", "n").distinct()
+    segments = rows.where("words is not null").select("node", "doc_id", "segment", "words").dropDuplicates(["node", "segment"])
+    found = pairs.join(segments, ["node", "segment"]).join(items, ["item_id", "n"])
+    checked = found.select("node", "doc_id", "item_id", "segment", "item", "words").mapInArrow(_verify(share), "node long, doc_id long, item_id long, start_word int, edits int, item_words int, near boolean")
+    best = checked.where("near").groupBy("node", "doc_id", "item_id").agg(F.min(F.struct("edits", "start_word", "item_words")).alias("best"))
     return best.select("doc_id", "item_id", "best.start_word", "best.edits", "best.item_words", "node")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those into which an item leaks; the others, null ids and texts among them, stay as they are."""
-    gone = cut(leaks(docs, benchmark, id_col, text_col).select(F.col("node").alias("__node")).distinct())
-    return docs.withColumn("__node", node_id(id_col, text_col)).join(gone, "__node", "left_anti").drop("__node")
+    """docs without those into which an item leaks; repeated rows go together.
+
+    The others, null ids and null or empty texts among them, stay as they are, with all their columns,
+    whatever their names; without items all stay.
+    """
+    key = spare(docs, "node")
+    gone = cut(leaks(docs, benchmark, id_col, text_col).select(F.col("node").alias(key)).distinct())
+    return docs.withColumn(key, node_id(id_col, text_col)).join(gone, key, "left_anti").drop(key)
