@@ -26,10 +26,13 @@ from .textarrays import column_of, mix64, slices, utf8
 BUCKET_BITS = 16
 SEGMENT = 24
 PENALTY = 2.0
-STEPS = 12
+#: EM ends for a document when a step raises its log likelihood by less.
+GAIN = 1e-4
 #: A document with more of its text outside all languages is rejected.  In a short one an address or a number may be half of it.
 MAX_UND = 0.7
 UND = "und"
+#: Labels that a task counts at a time.
+TABLES = 200
 
 _LETTER = np.zeros(256, bool)
 _LETTER[128:] = _LETTER[97:123] = True
@@ -65,10 +68,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bucket, row = trigrams(text.slice(a, b - a))
             names = lang.slice(a, b - a).dictionary_encode()
             index = names.indices.to_numpy(zero_copy_only=False)
-            per = np.bincount((index[row].astype(np.int64) << BUCKET_BITS) | bucket, minlength=len(names.dictionary) << BUCKET_BITS)
-            for k, name in enumerate(names.dictionary.to_pylist()):
-                part = per[k << BUCKET_BITS : (k + 1) << BUCKET_BITS]
-                totals[name] = totals[name] + part if name in totals else part.copy()
+            key, n = np.unique((index[row].astype(np.int64) << BUCKET_BITS) | bucket, return_counts=True)
+            of, start = np.unique(key >> BUCKET_BITS, return_index=True)
+            for k, x, y in zip(of.tolist(), start.tolist(), [*start[1:].tolist(), len(key)]):
+                name = names.dictionary[k].as_py()
+                if name not in totals:
+                    if len(totals) == TABLES:  # so many labels don't fit in memory, so their counts are added up later
+                        yield from _counted(totals)
+                        totals = {}
+                    totals[name] = np.zeros(1 << BUCKET_BITS, np.int64)
+                totals[name][key[x:y] & ((1 << BUCKET_BITS) - 1)] += n[x:y]
+    yield from _counted(totals)
+
+
+def _counted(totals: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     for name, counts in totals.items():
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array([name] * len(seen), pa.string()), pa.array(seen.astype(np.int32)), pa.array(counts[seen])], ["lang", "bucket", "n"])
@@ -110,11 +123,11 @@ def segment_likelihoods(column: pa.Array, model: np.ndarray) -> tuple[np.ndarray
     return np.stack([np.add.reduceat(model[:, k][bucket], start, dtype=np.float64) for k in range(model.shape[1])], 1), row[start], size
 
 
-def mixtures(like: np.ndarray, row: np.ndarray, rows: int, penalty: float = PENALTY, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+def mixtures(like: np.ndarray, row: np.ndarray, rows: int, penalty: float = PENALTY, gain: float = GAIN) -> tuple[np.ndarray, np.ndarray]:
     """Shares (rows, components), 0 outside the set chosen, and the penalised log likelihood of each row.
 
     Rows without segments get no share at all.  All rows run together: a step
-    of EM is one pass over the segments.
+    of EM is one pass over the segments of the rows that still gain by it.
     """
     parts = like.shape[1]
     share = np.zeros((rows, parts))
@@ -129,18 +142,29 @@ def mixtures(like: np.ndarray, row: np.ndarray, rows: int, penalty: float = PENA
     cost = penalty / 2 * np.log(size + 1.0)
 
     def fit(which: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """EM for some of the present rows."""
-        take = np.repeat(which, size[which])
-        seg = np.concatenate([[0], np.cumsum(size[which])])[:-1]
-        index = np.arange(len(take)) - np.repeat(seg, size[which]) + np.repeat(start[which], size[which])
-        o, n = odds[index], size[which]
-        pi = allowed / allowed.sum(1, keepdims=True)
-        for _ in range(steps):
-            post = o * np.repeat(pi, n, axis=0)
-            post /= np.maximum(post.sum(1, keepdims=True), 1e-300)
-            pi = np.add.reduceat(post, seg, axis=0) / n[:, None]
-        mixed = np.log(np.maximum((o * np.repeat(pi, n, axis=0)).sum(1), 1e-300))
-        return pi, base[which] + np.add.reduceat(mixed, seg)
+        """EM for some of the present rows, each to its end."""
+        shares, reached = allowed / allowed.sum(1, keepdims=True), np.full(len(which), -np.inf)
+        left = np.arange(len(which))
+        while len(left):
+            n = size[which[left]]
+            seg = np.concatenate([[0], np.cumsum(n)])[:-1]
+            index = np.arange(n.sum()) - np.repeat(seg, n) + np.repeat(start[which[left]], n)
+            o, pi, was = odds[index], shares[left], reached[left]
+            while True:
+                post = o * np.repeat(pi, n, axis=0)
+                mixed = np.maximum(post.sum(1), 1e-300)
+                now = np.add.reduceat(np.log(mixed), seg)
+                going = now - was >= gain
+                if 2 * going.sum() <= len(left):
+                    break
+                step = np.add.reduceat(post / mixed[:, None], seg, axis=0) / n[:, None]
+                pi, was = np.where(going[:, None], step, pi), now
+            shares[left], reached[left] = pi, now
+            if going.any():
+                step = np.add.reduceat(post / mixed[:, None], seg, axis=0) / n[:, None]
+                shares[left[going]] = step[going]
+            left = left[going]
+        return shares, base[which] + reached
 
     live = np.arange(len(present))
     allowed = np.ones((len(present), parts), bool)
@@ -202,7 +226,8 @@ def language_mixtures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Null, empty and letterless texts have no trigram: no language,
     ``und_share`` 1 and ``keep`` false.  If no document is labelled, no text
     is in any known language.  Null ids keep their rows; a null label only means that the
-    document takes no part in training.  Other columns are ignored.
+    document takes no part in training.  Repeated rows are judged each; texts of any length are read to
+    their end.  Other columns, whatever their names, are ignored.
     """
     names, model = train(docs, lang_col, text_col)
     used = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -210,7 +235,12 @@ def language_mixtures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def drop_rejected(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_und: float = MAX_UND) -> DataFrame:
-    """The rows of docs in some known language, unchanged."""
+    """The rows of docs in some known language, unchanged, with all their columns, whatever their names.
+
+    Null, empty and letterless texts go.  Repeated rows are judged each, and alike; null ids don't matter. A null label
+    only means that the row takes no part in training; without any label all rows go.  Texts of any length are read to
+    their end, and of equal shares ``und`` is dropped last.  An empty table stays empty.
+    """
     names, model = train(docs, lang_col, text_col)
     score = _score(names, model, max_und)
 
