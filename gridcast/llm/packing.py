@@ -27,6 +27,8 @@ from .common import cut
 from .textarrays import column_of
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
+#: Pieces that are ranked in one sort, about: even if all have one length, no task gets more.
+RANKED = 1 << 20
 #: A token is a word (letters, marks, digits) or another character that isn't white space.
 TOKEN_RE = r"[\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}]"
 
@@ -140,7 +142,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
 
     Texts that are null or have no token have no piece.  Null ids are packed
     under a null ``doc_id``; repeated rows are packed as often as they occur.
-    An empty table gives no row.  Other columns are ignored.
+    Pieces of equal length are interchangeable; which of them goes where follows from hashes of id and text, whatever the layout of docs.
+    Texts of any length are counted to their end.
+    An empty table gives no row.  Other columns, whatever their names, are ignored.
     """
     largest = max(capacities)
     counted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("h"), (token_count(text_col) if tokens is None else tokens).cast("long").alias("n")).where("n > 0")
@@ -149,5 +153,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     start = F.col("piece").cast("long") * largest
     pieces = cut(pieces.select("doc_id", "h", "piece", start.alias("start_token"), F.least(F.lit(largest), F.col("n") - start).cast("int").alias("n_tokens")))
     histogram = {r.n_tokens: r.n for r in pieces.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()}
-    ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("n_tokens").orderBy("doc_id", "h", "piece")).cast("long") - 1)
+    parts = 1 + sum(histogram.values()) // RANKED
+    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "h", "piece"), F.lit(parts)).cast("int"))
+    own = F.row_number().over(Window.partitionBy("n_tokens", "part").orderBy("doc_id", "h", "piece"))
+    before = F.sum("n").over(Window.partitionBy("n_tokens").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = pieces.groupBy("n_tokens", "part").agg(F.count(F.lit(1)).alias("n")).select("n_tokens", "part", F.coalesce(before, F.lit(0)).alias("before"))
+    ranked = pieces.withColumn("own", own).join(offsets, ["n_tokens", "part"]).withColumn("rank", F.col("before") + F.col("own") - 1)
     return ranked.mapInArrow(_place(plan(histogram, capacities, cost), 0), "doc_id long, piece int, start_token long, n_tokens int, bin_id long, bin_offset int, capacity int, used int")

@@ -80,3 +80,18 @@ def test_empty_table_and_own_token_counts(spark, make):
     assert packing.pack(make([])).count() == 0
     out = packing.pack(make(["abc", "de"]), capacities=(4,), tokens=F.length("text")).collect()
     assert sorted((r.doc_id, r.n_tokens, r.capacity) for r in out) == [(0, 3, 4), (1, 2, 4)]
+
+
+def test_many_pieces_of_one_length(spark, make, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED", 50)
+    texts = [(k, " ".join(["w"] * 700)) for k in range(400)] + [(1000 + k % 7, "a b c") for k in range(90)]
+    out = packing.pack(make(texts)).collect()
+    assert len(out) == len(texts)
+    spans = {}
+    for r in out:
+        spans.setdefault(r.bin_id, []).append((r.bin_offset, r.n_tokens, r.used))
+    for content in spans.values():
+        content.sort()
+        assert [o for o, _, _ in content] == [sum(n for _, n, _ in content[:k]) for k in range(len(content))]
+        assert sum(n for _, n, _ in content) == content[0][2]
+    assert sum(1 for r in out if r.n_tokens == 3) == 90
