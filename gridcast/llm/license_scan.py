@@ -36,8 +36,8 @@ class Template:
     phrases: tuple[str, ...]
 
 
-#: Those of the SQL.
-SQL_TEMPLATES = (
+#: One-sentence notices, headers and titles of the GNU licences, clauses and full names, SPDX lines.
+TEMPLATES = (
     Template("Apache-2.0", "licensed under the Apache License, Version 2.0", ("Apache License, Version 2.0",)),
     Template("MIT", "released under the MIT License", ("the MIT License",)),
     Template("MIT", "licensed under the MIT License", ("the MIT License",)),
@@ -59,11 +59,6 @@ SQL_TEMPLATES = (
     Template("CC-BY-NC-4.0", "licensed under CC BY-NC 4.0", ("CC BY-NC 4.0",)),
     Template("CC-BY-ND-4.0", "licensed under CC BY-ND 4.0", ("CC BY-ND 4.0",)),
     Template("CC-BY-NC-SA-4.0", "licensed under CC BY-NC-SA 4.0", ("CC BY-NC-SA 4.0",)),
-)
-
-#: Also the headers and titles of the GNU licences, and SPDX lines.
-TEMPLATES = (
-    *SQL_TEMPLATES,
     Template("GPL-2.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License", ("GNU General Public License as published", "either version 2 of the License",)),
     Template("GPL-2.0", "under the terms of the GNU General Public License version 2 as published by the Free Software Foundation", ("GNU General Public License version 2 as published",)),
     Template("GPL-3.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", ("GNU General Public License as published", "either version 3 of the License",)),
@@ -74,6 +69,18 @@ TEMPLATES = (
     Template("LGPL-3.0", "under the terms of the GNU Lesser General Public License version 3 as published by the Free Software Foundation", ("GNU Lesser General Public License version 3 as published",)),
     Template("AGPL-3.0", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License", ("GNU Affero General Public License as published", "either version 3 of the License",)),
     Template("AGPL-3.0", "under the terms of the GNU Affero General Public License version 3 as published by the Free Software Foundation", ("GNU Affero General Public License version 3 as published",)),
+    Template("BSD", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", ("must retain the above copyright notice", "this list of conditions and the following disclaimer")),
+    Template("BSD-3-Clause", "may be used to endorse or promote products derived from this software without specific prior written permission", ("endorse or promote products derived from this software", "without specific prior written permission")),
+    Template("Zlib", "without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software", ("without any express or implied warranty", "in no event will the authors be held liable")),
+    Template("CC-BY-4.0", "Creative Commons Attribution 4.0 International", ("Creative Commons Attribution 4.0",)),
+    Template("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International", ("Creative Commons Attribution-ShareAlike 4.0",)),
+    Template("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International", ("Creative Commons Attribution-NonCommercial 4.0",)),
+    Template("CC-BY-ND-4.0", "Creative Commons Attribution-NoDerivatives 4.0 International", ("Creative Commons Attribution-NoDerivatives 4.0",)),
+    Template("CC-BY-NC-SA-4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International", ("Creative Commons Attribution-NonCommercial-ShareAlike 4.0",)),
+    Template("CC-BY-NC-ND-4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International", ("Creative Commons Attribution-NonCommercial-NoDerivatives 4.0",)),
+    Template("CC0-1.0", "Creative Commons Zero v1.0 Universal", ("Creative Commons Zero v1.0",)),
+    Template("Zlib", "SPDX-License-Identifier: Zlib", ("SPDX-License-Identifier: Zlib",)),
+    Template("CC-BY-NC-ND-4.0", "SPDX-License-Identifier: CC-BY-NC-ND-4.0", ("SPDX-License-Identifier: CC-BY-NC-ND-4.0",)),
     Template("GPL-3.0", "GNU General Public License Version 3, 29 June 2007", ("GNU General Public License Version 3, 29 June 2007",)),
     Template("GPL-2.0", "GNU General Public License Version 2, June 1991", ("GNU General Public License Version 2, June 1991",)),
     Template("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007", ("GNU Lesser General Public License Version 3, 29 June 2007",)),
@@ -214,7 +221,8 @@ def license_notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null and empty texts hold no notice; rows with a null id give none but
     count for the frequencies.  Rows equal in id and text give one row, equal
     ids with other texts one each.  Words of equal frequency are taken in
-    alphabetical order.  Other columns are ignored.
+    alphabetical order.  Texts of any length are read to their end.  An empty table gives no row.
+    Other columns, whatever their names, are ignored.
     """
     frequency, _ = document_frequencies(docs, text_col, templates)
     used = docs.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(node_id(id_col, text_col).alias("node"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -231,7 +239,7 @@ def _sql_list(words: Sequence[str]) -> str:
 def _template_rows() -> tuple[str, str]:
     """VALUES of the templates (number, licence, words) and of their phrases (number, start, end)."""
     texts, phrases = [], []
-    for k, t in enumerate(SQL_TEMPLATES):
+    for k, t in enumerate(TEMPLATES):
         words = _split(t.text)
         texts.append(f"({k}, '{t.license_id}', {_sql_list(words)})")
         for phrase in t.phrases:
@@ -241,7 +249,7 @@ def _template_rows() -> tuple[str, str]:
     return ", ".join(texts), ", ".join(phrases)
 
 
-#: In DuckDB, by SQL_TEMPLATES.
+#: The same in DuckDB.
 LICENSES_SQL = f"""
 WITH t(tid, license_id, tw) AS (VALUES {_template_rows()[0]}), p(tid, a, b) AS (VALUES {_template_rows()[1]}),
 d AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD_RE}') AS words FROM documents WHERE doc_id IS NOT NULL AND length(text) > 0),

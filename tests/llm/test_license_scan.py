@@ -3,6 +3,7 @@
 import random
 from itertools import product
 
+import duckdb
 from conftest_llm import rows
 from oracle import DATA, compare, connection
 
@@ -69,8 +70,22 @@ def test_sql(spark):
     compare(op4_license_scan(spark, f"{DATA}/sf0.01"), lic.LICENSES_SQL, connection("sf0.01"))
 
 
+def test_sql_on_all_templates(spark, make, tmp_path):
+    rnd = random.Random(8)
+    docs = []
+    for k, t in enumerate(lic.TEMPLATES * 3):
+        words = [rnd.choice(FILLER) for _ in range(rnd.randint(0, 9))] + lic._split(t.text) + [rnd.choice(FILLER) for _ in range(rnd.randint(0, 9))]
+        words[rnd.randrange(len(words))] = rnd.choice(FILLER)
+        docs.append((k, " ".join(words)))
+    make(docs).write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    compare(lic.license_notices(make(docs)), lic.LICENSES_SQL, con)
+
+
 def test_headers_titles_and_spdx_lines(spark, make):
     gnu = "under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
     texts = [gnu.format("", 3), gnu.format("", 2), gnu.format("Lesser ", "2.1"), gnu.format("Affero ", 3), "GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007", "// SPDX-License-Identifier: GPL-2.0-or-later", "# SPDX-License-Identifier: MIT", "It is available under the MIT License."]
-    want = ["GPL-3.0", "GPL-2.0", "LGPL-2.1", "AGPL-3.0", "GPL-3.0", "GPL-2.0", "MIT", "MIT"]
-    assert rows(lic.license_notices(make(texts)), "doc_id", "license_id") == list(enumerate(want))
+    texts += ["licensed under a Creative Commons Attribution 4.0 International License", "the Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International Public License", "Neither the name of Acme nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."]
+    want = ["GPL-3.0", "GPL-2.0", "LGPL-2.1", "AGPL-3.0", "GPL-3.0", "GPL-2.0", "MIT", "MIT", "CC-BY-4.0", "CC-BY-NC-SA-4.0", "BSD-3-Clause"]
+    assert rows(lic.license_notices(make(texts)), "doc_id", "license_id") == sorted(enumerate(want), key=repr)
