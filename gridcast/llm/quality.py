@@ -42,7 +42,7 @@ def _blocks(raw: memoryview, size: int = BLOCK) -> list[bytes]:
 
 
 def _dictionary(texts: list[bytes], size: int) -> bytes:
-    """Trained on blocks; where there is too little text to train, the text itself."""
+    """Trained on blocks; where there is too little text (under 16 blocks or twice the size), or zstandard finds nothing in common, the text itself."""
     parts = [p for t in texts for p in _blocks(memoryview(t))]
     if len(parts) >= 16 and sum(map(len, parts)) >= 2 * size:
         try:
@@ -104,7 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = [marks.where(F.col("good") == v).orderBy(F.xxhash64("__id"), "__id").limit(sample) for v in (0, 1)]
     picked = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * sample rows at most, so the texts stay where they are
     texts = docs.where(F.length(text_col) > 0).select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
-    rows = texts.join(picked, "__id").select(F.xxhash64("__id").alias("h"), "__id", "good", "text").collect()
+    rows = texts.join(picked, "__id").select(F.xxhash64("__id").alias("h"), "__id", "good", "text").distinct().collect()
     rows.sort(key=lambda r: (r.h, r[1], r.text))
     by = {v: [r.text.encode() for r in rows if r.good == v] for v in (0, 1)}
     fit = {v: by[v][::2] for v in by}
@@ -138,7 +138,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Null and empty texts score 0 and aren't kept.  Null ids keep their rows.  A
     label other than 0 and 1, null among them, is no label; of several labels of one id the
     best counts.  Without labels of both classes every text scores 0.5.
-    Repeated rows are scored each; other columns are ignored.
+    Of the labelled texts at most ``sample`` of each class are used; a class with too little text for a trained dictionary
+    has its text as the dictionary.  Texts of any length are compressed to their end.  Repeated rows are
+    scored each, and alike; an empty table gives no row.  Other columns, whatever their names, are ignored.
     """
     model = train(docs, labels, id_col, text_col, label_col, sample)
     used = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+import zstandard
 from conftest_llm import rows
 from oracle import DATA
+from pyspark.sql import functions as F
 
 from gridcast.llm import quality
 
@@ -28,6 +30,36 @@ def test_calibration_recovers_a_logistic():
     assert quality.calibrate(x, np.ones(20_000, bool)) == (0.0, 0.0)
 
 
+def test_same_as_plain_compression(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    marks = {}
+    for r in labels.collect():
+        if r.quality in (0, 1):
+            marks[r.doc_id] = max(marks.get(r.doc_id, 0), r.quality)
+    order = [r.doc_id for r in docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    of = {v: [text[d].encode() for d in order if marks.get(d) == v and text[d]] for v in (0, 1)}
+    fit, held = {v: of[v][::2] for v in of}, {v: of[v][1::2] for v in of}
+    size = min(quality.DICTIONARY_BYTES, *(max(256, sum(map(len, fit[v])) // 4) for v in fit))
+    blocks = lambda raw: [raw[k : k + quality.BLOCK] for k in range(0, len(raw), quality.BLOCK)]
+
+    def dictionary(texts):
+        try:
+            return zstandard.ZstdCompressionDict(zstandard.train_dictionary(size, [x for t in texts for x in blocks(t)]).as_bytes())
+        except zstandard.ZstdError:
+            return zstandard.ZstdCompressionDict(b"".join(texts)[:size])
+
+    packers = {v: zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=dictionary(fit[v]), write_content_size=False, write_dict_id=False, write_checksum=False) for v in fit}
+    difference = lambda raw: sum(len(packers[0].compress(x)) - len(packers[1].compress(x)) for x in blocks(raw)) / len(raw) if raw else 0.0
+    x = np.array([difference(t) for v in (0, 1) for t in held[v]])
+    slope, offset = quality.calibrate(x, np.repeat([False, True], [len(held[0]), len(held[1])]), float(np.mean([marks[d] for d in marks])))
+    for r in quality.quality_scores(docs, labels).collect():
+        want = difference((text[r.doc_id] or "").encode())
+        assert r.size_difference == pytest.approx(want, abs=2e-6)
+        if text[r.doc_id]:
+            assert r.score == pytest.approx(1 / (1 + np.exp(-(slope * want + offset))), abs=1e-4)
+
+
 def labels_of(spark, items):
     return spark.createDataFrame([(*r, "clash", "clash") for r in items], "doc_id long, quality int, toxic int, text string, score string")
 
