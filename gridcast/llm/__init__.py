@@ -1,5 +1,5 @@
 """Operators for preparing language-model training data.
 
-Nothing outside this folder imports it; ``queries.registry()`` hands the
-queries and their SQL to ``__spark_entry__.py``.
+Nothing else in the package imports it; ``queries.QUERIES`` and
+``queries.ORACLE_SQL`` are what ``__spark_entry__.py`` adds to the others.
 """
