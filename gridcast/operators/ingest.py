@@ -86,7 +86,7 @@ def check_identity(store: DataFrame, new: DataFrame) -> None:
 
 def merge_leads(existing: DataFrame, new: DataFrame) -> DataFrame:
     """Leads of ``new`` replace those of ``existing``, which keeps the others."""
-    return existing.join(F.broadcast(new.select("lead_time_hours").distinct()), "lead_time_hours", "left_anti").unionByName(new)
+    return existing.join(new.select("lead_time_hours").distinct(), "lead_time_hours", "left_anti").unionByName(new)
 
 
 def committed_state(values: DataFrame, ensemble: bool) -> DataFrame:
@@ -101,6 +101,29 @@ def run_status(expected: DataFrame, present: DataFrame) -> DataFrame:
     return both.agg(F.count(F.lit(1)).alias("expected"), F.count("__there").alias("present")).withColumn("status", status(F.col("expected"), F.col("present")))
 
 
+def run_readiness(expected: DataFrame, recorded: DataFrame, stored: DataFrame | None = None, run: str = "run_id", ensemble: bool = False) -> DataFrame:
+    """``(run, expected, present, status)`` of every run with expectations.
+
+    The tables hold ``run, lead_time_hours`` and, of an ensemble, ``member``: what should be there, what the
+    catalog has, and what the store really holds.  ``processing`` without any recorded lead. ``ready`` needs every expected lead,
+    of an ensemble exactly the expected pairs and no others, and, where the store is known, a catalog
+    that equals it.  All else is ``partial``.
+    """
+    keys = [run, "lead_time_hours", *(["member"] if ensemble else [])]
+    flagged = [t.select(*keys).distinct().withColumn("__k", F.lit(k)) for k, t in enumerate((expected, recorded, stored)) if t is not None]
+    rows = flagged[0]
+    for t in flagged[1:]:
+        rows = rows.unionByName(t)
+    place = rows.groupBy(*keys).agg(*[F.bool_or(F.col("__k") == k).alias(n) for k, n in enumerate(("e", "r", "s"))])
+    lead = place.groupBy(run, "lead_time_hours").agg(*[F.bool_or(c).alias(c) for c in ("e", "r")]).groupBy(run).agg(F.count_if(F.col("e") & ~F.col("r")).alias("lacking"), F.count_if("r").alias("leads"))
+    counts = place.groupBy(run).agg(
+        F.count_if("e").alias("expected"), F.count_if(F.col("e") & F.col("r")).alias("present"), F.count_if(F.col("e") != F.col("r")).alias("odd"), F.count_if(F.col("r") != F.col("s")).alias("stale")
+    )
+    wrong = (F.col("lacking") > 0) | (F.col("odd") > 0 if ensemble else F.lit(False)) | (F.col("stale") > 0 if stored is not None else F.lit(False))
+    state = F.when(F.col("leads") == 0, "processing").when(wrong, "partial").otherwise("ready")
+    return counts.join(lead, run).where("expected > 0").select(run, "expected", "present", state.alias("status"))
+
+
 def write_set(values: DataFrame) -> DataFrame:
     """One fingerprint over the regions of a run, whatever the order of their rows."""
     regions = values.select(region_id(F.col("lead_time_hours"), F.col("member")).alias("region")).distinct()
