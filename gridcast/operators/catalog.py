@@ -93,6 +93,21 @@ def known(wanted: DataFrame, present: DataFrame, keys: Sequence[str]) -> DataFra
     return wanted.join(present.select(*keys), list(keys), "left_semi")
 
 
+def shared(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys that both tables have."""
+    return a.select(*keys).intersect(b.select(*keys))
+
+
+def either(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys that one of the tables has."""
+    return a.select(*keys).union(b.select(*keys)).distinct()
+
+
+def centers(table: DataFrame, limit: int = 20, starting_after: object = None) -> DataFrame:
+    """A page of forecast centers by id."""
+    return page_rows(table.select("id", "name"), "id", limit, starting_after)
+
+
 def expected_pairs(members: DataFrame, leads: DataFrame) -> DataFrame:
     """All members at all leads: one of the two cross joins on purpose."""
     return members.crossJoin(leads)

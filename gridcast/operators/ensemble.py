@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import InvalidInput
+from ..errors import InvalidInput, InvalidMembers
 
 #: Two-sided 95 % quantile of the normal distribution.
 Z95 = 1.959963984540054
@@ -30,6 +31,13 @@ def strict(value: Column) -> Column:
     return F.when(finite(value), value.cast("double")).otherwise(F.raise_error(F.lit("a member is not finite")).cast("double"))
 
 
+def check_members(df: DataFrame, keys: Sequence[str], value: str = "value") -> None:
+    """Raises ``InvalidMembers`` with the first group that has no finite member or one that isn't finite."""
+    bad = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.count_if(finite(F.col(value))).alias("__ok")).where("__ok < __n or __ok = 0").take(1)
+    if bad or (not keys and df.isEmpty()):
+        raise InvalidMembers(f"members of {[bad[0][k] for k in keys] if bad else 'nothing'} are not finite")
+
+
 def percentile(value: Column, q: float) -> Column:
     """Linear interpolation between closest ranks, q from 0 to 100."""
     q = _number("percentile", q)
@@ -72,21 +80,29 @@ def condition(value: Column, operator: str, threshold: float, upper: float | Non
     raise InvalidInput(f"operator {operator!r} is none of gt, lt, between")
 
 
-def wilson(p: Column, n: Column) -> tuple[Column, Column]:
-    """95 % Wilson interval of a proportion p of n, within 0 to 1."""
-    z2 = Z95 * Z95
-    scale = 1 + F.lit(z2) / n
-    centre = (p + F.lit(z2) / (2 * n)) / scale
-    half = F.lit(Z95) / scale * F.sqrt(p * (1 - p) / n + F.lit(z2) / (4 * n * n))
+def wilson(p: Column, n: Column, confidence: float = 0.95) -> tuple[Column, Column]:
+    """Two-sided Wilson interval of a proportion p of n, within 0 to 1."""
+    level = _number("confidence", confidence)
+    if not 0 < level < 1:
+        raise InvalidInput("a confidence lies between 0 and 1")
+    z = NormalDist().inv_cdf((1 + level) / 2)
+    scale = 1 + F.lit(z * z) / n
+    centre = (p + F.lit(z * z) / (2 * n)) / scale
+    half = F.lit(z) / scale * F.sqrt(p * (1 - p) / n + F.lit(z * z) / (4 * n * n))
     return F.greatest(F.lit(0.0), centre - half), F.least(F.lit(1.0), centre + half)
 
 
-def probability(df: DataFrame, keys: Sequence[str], operator: str, threshold: float, upper: float | None = None, value: str = "value") -> DataFrame:
-    """Share of members that meet the condition, its interval and the member count of each group."""
+def interval(low: Column, high: Column) -> Column:
+    """An interval as an array of two."""
+    return F.array(low, high)
+
+
+def probability(df: DataFrame, keys: Sequence[str], operator: str, threshold: float, upper: float | None = None, value: str = "value", confidence: float = 0.95) -> DataFrame:
+    """Share of members that meet the condition, its interval (two columns and ``ci``) and the member count of each group."""
     met = condition(strict(F.col(value)), operator, threshold, upper)
     out = df.groupBy(*keys).agg(F.avg(met.cast("double")).alias("probability"), F.count(F.lit(1)).alias("member_count"))
-    low, high = wilson(F.col("probability"), F.col("member_count").cast("double"))
-    return out.withColumns({"ci_low": low, "ci_high": high})
+    low, high = wilson(F.col("probability"), F.col("member_count").cast("double"), confidence)
+    return out.withColumns({"ci_low": low, "ci_high": high, "ci": interval(low, high)})
 
 
 def histogram(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
@@ -111,6 +127,13 @@ def distribution(df: DataFrame, keys: Sequence[str], value: str = "value") -> Da
     return df.where(finite(F.col(value))).groupBy(*keys).agg(F.count(v).alias("count"), F.min(v).alias("minimum"), F.max(v).alias("maximum"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_pop(v).alias("std_dev"))
 
 
+def statistics_entries(stats: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(keys, place, name, value)`` in the order in which statistics are shown."""
+    names = [n for n in ("mean", "median", "spread", *(f"p{q}" for q in PERCENTILES)) if n in stats.columns]
+    entries = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in names])
+    return stats.select(*keys, F.posexplode(entries).alias("place", "e")).select(*keys, "place", "e.name", "e.value")
+
+
 def fan_bands(stats: DataFrame) -> DataFrame:
     """Stacked bands of a fan chart: bases and heights from the percentiles of ``statistics``."""
     return stats.withColumns({"outer_base": F.col("p10"), "outer_height": F.col("p90") - F.col("p10"), "inner_base": F.col("p25"), "inner_height": F.col("p75") - F.col("p25")})

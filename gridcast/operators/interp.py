@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import InvalidGrid, OutsideGrid
 from ..functions.geo import Grid, western_axis
 
 
@@ -14,12 +15,30 @@ def lerp(a: Column, b: Column, t: Column) -> Column:
     return a + (b - a) * t
 
 
+def check_inside(points: DataFrame, grid: Grid, lat: str = "latitude", lon: str = "longitude") -> None:
+    """Raises ``OutsideGrid`` with a point that the grid doesn't cover."""
+    bad = points.where(~grid.contains(F.col(lat), F.col(lon))).select(lat, lon).take(1)
+    if bad:
+        raise OutsideGrid(f"{bad[0][0]}, {bad[0][1]} lies outside the grid")
+
+
+def near(field: DataFrame, asked: DataFrame) -> DataFrame:
+    """The field's rows and columns between the least and the greatest that are asked for, as ranges that reach the scan.
+
+    One row of bounds is collected, whatever the number of points.
+    """
+    low_row, high_row, low_col, high_col = asked.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first()
+    if low_row is None:
+        return field.where(F.lit(False))
+    return field.where(F.col("row").between(low_row, high_row) & F.col("col").between(low_col, high_col))
+
+
 def bilinear(points: DataFrame, field: DataFrame, grid: Grid, keys: Sequence[str], by: Sequence[str] = (), lat: str = "latitude", lon: str = "longitude", value: str = "value") -> DataFrame:
     """Bilinear value at each point, a row for each point and group of ``by`` (variable, lead, member ...).
 
     ``field`` has ``row``, ``col``, ``value`` and the columns of ``by``; ``keys``
-    identify a point.  Points outside the grid and cells with an absent,
-    null or NaN corner give null; a point that meets no value at all has no row.
+    identify a point.  Cells with an absent, null or NaN corner give null; points outside the grid
+    (see ``check_inside``) and those that meet no value at all have no row.
     """
     inside = points.where(grid.contains(F.col(lat), F.col(lon)))
     r, c, tr, tc = grid.cell(F.col(lat), F.col(lon))
@@ -29,7 +48,7 @@ def bilinear(points: DataFrame, field: DataFrame, grid: Grid, keys: Sequence[str
         *[F.struct(F.lit(k).alias("k"), row.alias("row"), col.alias("col")) for k, (row, col) in enumerate([(F.col("__r"), F.col("__c")), (F.col("__r"), last(F.col("__c"), grid.cols)), (last(F.col("__r"), grid.rows), F.col("__c")), (last(F.col("__r"), grid.rows), last(F.col("__c"), grid.cols))])]
     )
     asked = cells.select(*keys, "__tr", "__tc", F.explode(corners).alias("__k")).select(*keys, "__tr", "__tc", F.col("__k.k").alias("__k"), F.col("__k.row").alias("row"), F.col("__k.col").alias("col"))
-    nodes = field.select(*by, "row", "col", F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("__v"))
+    nodes = near(field, asked).select(*by, "row", "col", F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("__v"))
     met = asked.join(nodes, ["row", "col"]).groupBy(*keys, *by)
     pick = lambda k: F.max(F.when(F.col("__k") == k, F.col("__v"))).alias(f"__v{k}")
     wide = met.agg(*[pick(k) for k in range(4)], F.first("__tr").alias("__tr"), F.first("__tc").alias("__tc"))
@@ -41,7 +60,7 @@ def nearest(points: DataFrame, field: DataFrame, grid: Grid, keys: Sequence[str]
     """Value of the nearest node of each point inside the grid."""
     r, c = grid.nearest(F.col(lat), F.col(lon))
     asked = points.where(grid.contains(F.col(lat), F.col(lon))).select(*keys, r.alias("row"), c.alias("col"))
-    return asked.join(field.select(*by, "row", "col", value), ["row", "col"]).select(*keys, *by, "row", "col", value)
+    return asked.join(near(field, asked).select(*by, "row", "col", value), ["row", "col"]).select(*keys, *by, "row", "col", value)
 
 
 def elevations(points: DataFrame, dem: DataFrame, grid: Grid, keys: Sequence[str], lat: str = "latitude", lon: str = "longitude") -> DataFrame:
@@ -57,7 +76,7 @@ def derive_grid(nodes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     An axis wholly beyond 180 degrees is shifted by -360; descending axes come out ascending.
     """
     low = nodes.groupBy(*keys).agg(F.min("longitude").alias("__west"))
-    placed = (nodes.join(F.broadcast(low), list(keys)) if keys else nodes.crossJoin(low)).withColumn("longitude", western_axis(F.col("longitude"), F.col("__west")))
+    placed = (nodes.join(low, list(keys)) if keys else nodes.crossJoin(low)).withColumn("longitude", western_axis(F.col("longitude"), F.col("__west")))
     axes = []
     for axis, short in (("latitude", "lat"), ("longitude", "lon")):
         values = placed.select(*keys, axis).distinct()
@@ -74,6 +93,14 @@ def derive_grid(nodes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return out.select(*keys, "lat_start", "lon_start", "lat_step", "lon_step", "rows", "cols", regular.alias("regular"))
 
 
+def check_shape(field: DataFrame, grid: Grid) -> None:
+    """A field fills its grid: every node once, and no index beyond it."""
+    inside = F.col("row").between(0, grid.rows - 1) & F.col("col").between(0, grid.cols - 1)
+    n, distinct, outside = field.agg(F.count(F.lit(1)), F.count_distinct("row", "col"), F.count_if(~F.coalesce(inside, F.lit(False)))).first()
+    if outside or n != distinct or n != grid.rows * grid.cols:
+        raise InvalidGrid(f"{n} values on {distinct} nodes, {outside} of them beyond {grid.rows} x {grid.cols}")
+
+
 def with_indices(nodes: DataFrame, grid: Grid) -> DataFrame:
     """Adds ``row`` and ``col`` to nodes that carry coordinates."""
     r, c = grid.nearest(F.col("latitude"), F.col("longitude"))

@@ -13,7 +13,7 @@ from ..functions.keys import iso_z, valid_time
 from ..functions.units import imperial_unit, to_imperial
 from .catalog import model_runs, ready
 from .ensemble import finite
-from .interp import bilinear
+from .interp import bilinear, check_inside
 
 
 def lead_window(df: DataFrame, start: int | None = None, end: int | None = None, lead: str = "lead_time_hours") -> DataFrame:
@@ -58,9 +58,11 @@ def point_forecast(
     """Values at points by valid time: ``(keys, valid_time, cycle_time, lead_time_hours, variable_code, unit, value)``.
 
     ``offers`` are ``candidates``; the lead window applies before the shortest lead is chosen.
+    A point outside the grid raises ``OutsideGrid``.
     """
+    check_inside(points, grid)
     chosen = shortest_lead(lead_window(offers, start, end), ["model_id", "valid_time"])
-    used = field.join(F.broadcast(chosen.select("run_id", "lead_time_hours")), ["run_id", "lead_time_hours"], "left_semi")
+    used = field.join(chosen.select("run_id", "lead_time_hours"), ["run_id", "lead_time_hours"], "left_semi")
     sampled = bilinear(points, used, grid, keys, by=["run_id", "variable_code", "lead_time_hours"])
     out = sampled.join(chosen, ["run_id", "lead_time_hours"]).join(variables.select("variable_code", "unit"), "variable_code")
     if imperial:
@@ -68,6 +70,26 @@ def point_forecast(
     return out.select(*keys, "valid_time", "cycle_time", "lead_time_hours", "variable_code", "unit", "value").orderBy(*keys, "valid_time", "variable_code")
 
 
+def generated_at(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The newest cycle that a forecast draws on."""
+    return df.groupBy(*keys).agg(F.max("cycle_time").alias("generated_at"))
+
+
+def lead_times(df: DataFrame) -> DataFrame:
+    """Distinct leads, ascending; a row without one counts as lead 0."""
+    return df.select(F.coalesce("lead_time_hours", F.lit(0)).cast("int").alias("lead_time_hours")).distinct().orderBy("lead_time_hours")
+
+
+def lead_index(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Leads with their places on the ascending axis of each group, from 0."""
+    axis = df.select(*keys, "lead_time_hours").distinct()
+    return axis.withColumn("index", F.row_number().over(Window.partitionBy(*keys).orderBy("lead_time_hours")) - 1)
+
+
+def variable_codes(df: DataFrame) -> DataFrame:
+    return df.select("variable_code").distinct().orderBy("variable_code")
+
+
 def resolve_location(cities: DataFrame, resorts: DataFrame, *, resort_id: str | None = None, city_id: str | None = None, lon: float | None = None, lat: float | None = None) -> tuple[float, float]:
     """Latitude and longitude of exactly one of: a coordinate, a city, a resort."""
     if (lat is None) != (lon is None) or sum(x is not None for x in (lat, city_id, resort_id)) != 1:

@@ -35,7 +35,7 @@ def report(observations: DataFrame, stations: DataFrame, products: DataFrame, fi
     valid at an observation's time pairs with it: an equi-join on the derived
     valid time.  Stations that are unknown or outside the grid drop out.
     """
-    seen = window(observations, start, end).join(F.broadcast(stations.select(F.col("station_code").alias("station_id"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude"))), "station_id")
+    seen = window(observations, start, end).join(stations.select(F.col("station_code").alias("station_id"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude")), "station_id")
     due = products.select("run_id", "variable_code", "lead_time_hours", valid_time(F.col("cycle_time"), F.col("lead_time_hours")).alias("valid_time"))
     asked = seen.join(due, ["variable_code", "valid_time"]).select("id", "run_id", "variable_code", "lead_time_hours", "latitude", "longitude", "observed_value")
     places = asked.select("id", "latitude", "longitude").distinct()
