@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import posixpath
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,8 +34,42 @@ def fingerprint(parts: Column) -> Column:
 
 
 def row_key(*columns: Column) -> Column:
-    """SHA-256 over column values; nulls count."""
-    return F.sha2(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns]), 256)
+    """SHA-256 over column values as a JSON array of strings, so that null, empty and joined values differ."""
+    return F.sha2(F.to_json(F.array(*[c.cast("string") for c in columns])), 256)
+
+
+def joined_hash(*parts: Column) -> Column:
+    """SHA-256 of parts put one after the other; null has a text of its own."""
+    return F.sha2(F.concat(*[F.coalesce(p.cast("string"), F.lit("<null>")) for p in parts]), 256)
+
+
+def write_set_fingerprint(required: Column, omitted: Column) -> Column:
+    """Of the keys that a region writes and those it leaves out (two arrays)."""
+    return F.sha2(F.concat(F.lit("write-set"), F.array_join(F.array_sort(required), ""), F.array_join(F.array_sort(omitted), "")), 256)
+
+
+def evidence_fingerprint(regions: Column) -> Column:
+    """Of regions that were committed before there were markers (an array)."""
+    return F.sha2(F.concat(F.lit("legacy-region-evidence"), F.array_join(F.array_sort(regions), "")), 256)
+
+
+def schema_fingerprint(coordinates: Column, variables: Column) -> Column:
+    """Of the names of a store's axes and variables (two arrays)."""
+    return F.sha2(F.concat(F.lit("schema"), F.array_join(F.array_sort(coordinates), ""), F.array_join(F.array_sort(variables), "")), 256)
+
+
+def storage_identity(path: str, endpoint: str | None = None, secure: bool = False) -> str:
+    """One name for a store, however its path is written; no credentials or queries."""
+    if path.startswith(("s3://", "s3a://")):
+        where = (endpoint or "").split("://")[-1].rstrip("/")
+        return f"s3+{'https' if secure else 'http'}://{where}/{path.split('://', 1)[1].split('?', 1)[0].strip('/')}"
+    return f"file://{posixpath.abspath(posixpath.normpath(path.removeprefix('file://')))}"
+
+
+def key60(identity: str, namespace: int = 0) -> int:
+    """A 60-bit number of an identity below the four bits of its namespace."""
+    low = int.from_bytes(hashlib.blake2b(identity.encode(), digest_size=8).digest(), "big") & ((1 << 60) - 1)
+    return namespace << 60 | low
 
 
 def canonical_json(value: object) -> str:
@@ -59,6 +94,21 @@ def lead_label(lead: Column) -> Column:
     return F.concat(F.lit("+"), lead.cast("string"), F.lit("h"))
 
 
+def value_label(value: Column, unit: Column) -> Column:
+    """At most two places without trailing zeros, thousands apart, and the unit if there is one."""
+    number = F.regexp_replace(F.format_number(value.cast("double"), 2), r"\.?0+$", "")
+    return F.when(unit == "", number).otherwise(F.concat(number, F.lit(" "), unit))
+
+
+def percent_label(share: Column) -> Column:
+    return F.format_string("%d%%", F.round(share * 100).cast("int"))
+
+
+def elevation_key(latitude: Column, longitude: Column) -> tuple[Column, Column]:
+    """Thousandths of a degree, halves to even."""
+    return (F.bround(latitude, 3) * 1000).cast("int"), (F.bround(longitude, 3) * 1000).cast("int")
+
+
 def coordinate_label(latitude: Column, longitude: Column) -> Column:
     return F.format_string("%.4f, %.4f", latitude, longitude)
 
