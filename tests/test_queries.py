@@ -11,7 +11,7 @@ def duck():
     return connection("sf0.01")
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+@pytest.mark.parametrize("name", list(ORACLE_SQL))
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, f"{DATA}/sf0.01")
     compare(df, ORACLE_SQL[name], duck)
