@@ -3,6 +3,8 @@
 import datetime as dt
 import json
 import struct
+import threading
+import time
 import zlib
 
 import numpy as np
@@ -10,9 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridcast import errors
-from gridcast.functions import keys
+from gridcast.functions import keys, present
 from gridcast.functions.geo import Grid
-from gridcast.operators import catalog, ingest, series, tiles, verify
+from gridcast.operators import catalog, commit, ensemble, ingest, interp, record, series, tiles, verify
 from gridcast.schema import TABLES, frame
 from gridcast.sinks import png, store
 from gridcast.sources import field_source, runs
@@ -126,7 +128,7 @@ def test_verification_report(spark, world):
 def test_tiles(spark):
     world = Grid(-90.0, -180.0, 1.0, 1.0, 181, 361)
     nodes = spark.range(181 * 361).select((F.col("id") / 361).cast("int").alias("row"), (F.col("id") % 361).cast("int").alias("col")).withColumn("value", (F.col("row") - 90).cast("double"))
-    out = tiles.render(spark, nodes.where("row > 60"), world, 0, 0, 0, tiles.TEMPERATURE_STOPS)
+    out = tiles.render(spark, nodes.where("row > 60"), world, 0, 0, 0, tiles.ramp("temperature_2m"))
     assert out.count() == 65536 and out.where("a = 0").count() > 0
     image = png.images(out.withColumn("tile", F.lit("0/0/0")), ["tile"]).first().png
     assert image[1:4] == b"PNG" and struct.unpack(">II", image[16:24]) == (256, 256)
@@ -135,8 +137,13 @@ def test_tiles(spark):
     r = out.where("px = 10 and py = 20").first()
     assert pixels[20, 10].tolist() == [r.r, r.g, r.b, r.a]
     asked = spark.createDataFrame([(0, 0, 0), (1, 2, 0), (3, 1, 2)], "z int, x int, y int")
-    many = tiles.render_many(asked, nodes.where("row > 60"), world, tiles.TEMPERATURE_STOPS)
+    many = tiles.render_many(asked, nodes.where("row > 60"), world, tiles.ramp("temperature_2m"))
     assert many.where("z = 0").drop("z", "x", "y").exceptAll(out).isEmpty() and many.count() == 2 * 65536
+    drawn = {(r.z, r.x, r.y): r.png for r in tiles.images(asked, nodes.where("row > 60"), world, tiles.ramp("temperature_2m")).collect()}
+    same = {(r.z, r.x, r.y): r.png for r in png.images(many, ["z", "x", "y"]).collect()}
+    assert drawn == same and len(drawn) == 2
+    away = tiles.images(asked, nodes, Grid(10.0, 10.0, 1.0, 1.0, 5, 5), tiles.ramp("precipitation_rate")).where("z = 3").first()
+    assert away.png == png.encode(np.zeros((256, 256, 4), np.uint8))
     for bad in ((10, 0, 0), (1, 2, 0), (0, 0, -1)):
         with pytest.raises(errors.InvalidInput):
             tiles.check_tile(*bad)
@@ -190,6 +197,176 @@ def test_generations_patches_and_readiness(spark, tmp_path):
     assert ingest.write_set(now).first() == ingest.write_set(now.orderBy(F.desc("lead_time_hours"))).first()
 
 
+def test_readers_keep_what_they_began_to_read(spark, tmp_path):
+    path = str(tmp_path / "store")
+    store.commit_region(region(spark, 0, 1), path, 0, 1)
+    before = store.read(spark, path)
+    store.commit_region(region(spark, 0, None, add=5.0), path, 0, 1)
+    store.commit_region(region(spark, 6, 2), path, 6, 2)
+    assert before.agg(F.max("value")).first()[0] == 1 and before.count() == 16
+    assert store.read(spark, path).count() == 32 and store.read(spark, path).agg(F.max("value")).first()[0] == 8
+    with pytest.raises(errors.StoreMismatch):
+        store.commit_region(region(spark, 12, 1), path, 6, 1)
+    runs_ = frame(spark, "model_runs", [{"id": "r", "status": "ready", "zarr_store_path": path}])
+    assert store.read_ready(runs_, "r", path).count() == 32
+    for bad in (record.set_partial(runs_, "r"), runs_.withColumn("zarr_store_path", F.lit("elsewhere"))):
+        with pytest.raises(errors.NotFound):
+            store.read_ready(bad, "r", path)
+    store.write_object(spark, f"{path}/pointer.json", "{")
+    with pytest.raises(errors.StoreMismatch):
+        store.read(spark, path)
+    assert store.check_store_path(None, "gfs", "2026-08-14 00", "/s") == "/s/gfs/2026-08-14T00"
+    with pytest.raises(errors.StoreMismatch):
+        store.check_store_path("/other", "gfs", "2026-08-14 00", "/s")
+
+
+def test_a_polling_reader_never_misses_a_region(spark, tmp_path):
+    path, seen, stop = str(tmp_path / "store"), [], threading.Event()
+    store.write_generation(region(spark, 0, 1).unionByName(region(spark, 6, 1)), path)
+
+    def poll():
+        while not stop.is_set():
+            seen.append(store.read(spark, path).count())
+
+    reader = threading.Thread(target=poll)
+    reader.start()
+    for k in range(4):
+        store.patch(region(spark, 6, 1, add=float(k)), path)
+    stop.set()
+    reader.join()
+    assert seen and set(seen) == {32}
+
+
+def record_of(**change):
+    spec = [ingest.parse_variable("temperature_2m:Temperature:°C")]
+    return record.RunRecord(**({"center_id": "noaa", "model_id": "gefs", "cycle_time": DAY, "store": "s/0", "ensemble": True, "variables": spec, "expected_leads": [0, 6], "expected_members": [1, 2]} | change))
+
+
+def test_recording_a_run(spark):
+    pairs = lambda *p: spark.createDataFrame(list(p), "member int, lead_time_hours int")
+    run = record_of()
+    status = lambda c: c["model_runs"].first().status
+    part = record.record_run(record.empty(spark), run, pairs((1, 0), (1, 6), (2, 0)))
+    assert status(part) == "partial" and part["forecast_products"].count() == 2 and part["ensemble_member_products"].count() == 3
+    whole = record.record_run(part, run, pairs((1, 0), (1, 6), (2, 0), (2, 6)))
+    again = record.record_run(whole, run, pairs((1, 0), (1, 6), (2, 0), (2, 6)))
+    assert status(whole) == "ready" and all(catalog.same_rows(whole[t], again[t]) for t in whole)
+    surplus = record.record_run(whole, run, pairs((1, 0), (1, 6), (2, 0), (2, 6), (3, 0)))
+    assert status(surplus) == "partial"  # a pair that nobody expects
+    shrunk = record.record_run(whole, run, pairs((1, 0), (2, 0)))
+    assert status(shrunk) == "partial" and shrunk["forecast_products"].count() == 1 and shrunk["ensemble_member_products"].count() == 2
+    assert status(record.record_run(record.empty(spark), run, pairs((1, 0)).limit(0))) == "processing"
+    more = record.record_run(record.empty(spark), record_of(ensemble=False, expected_leads=[0]), pairs((None, 0), (None, 6)))
+    assert status(more) == "ready"  # further leads do no harm
+    assert record.check_available(whole, "gefs", "temperature_2m", "surface", 6) == run.run_id
+    for wrong, kind in ((("gfs", "temperature_2m", "surface", 6), errors.NotFound), (("gefs", "rain", "surface", 6), errors.NotFound), (("gefs", "temperature_2m", "surface", 9), errors.NotFound), (("gefs", "temperature_2m", "500", 6), errors.InvalidInput)):
+        with pytest.raises(kind):
+            record.check_available(whole, *wrong)
+    with pytest.raises(errors.NotFound):
+        record.check_available(whole, "gefs", "temperature_2m", "surface", 6, hours(6))
+    with pytest.raises(errors.LiveStore):
+        record.guard_overwrite(whole["model_runs"], "s/0")
+    record.guard_overwrite(part["model_runs"], "s/0")
+    assert record.legend_unit(whole["forecast_variables"], "temperature_2m") == "°C"
+
+
+def test_stale_catalog_is_not_ready(spark):
+    rows = lambda *x: spark.createDataFrame([("r", k) for k in x], "run_id string, lead_time_hours int")
+    state = lambda e, r, s: ingest.run_readiness(rows(*e), rows(*r) if r else rows(0).limit(0), rows(*s) if s else None).first().status
+    assert state([0, 6], [0, 6, 12, 18], [6]) == "partial" and state([0, 6], [0, 6, 12], None) == "ready"
+    assert state([0, 6], [0, 6], [0, 6]) == "ready" and state([0, 6], [0], [0]) == "partial" and state([0], [], None) == "processing"
+
+
+def test_markers_manifest_and_finaliser(spark, tmp_path):
+    path = str(tmp_path / "store")
+    arrays = spark.createDataFrame([("t", [2, 100, 200], [1, 64, 128])], "name string, shape array<int>, chunks array<int>")
+    placed = spark.createDataFrame([("det_L0000", 0, None), ("det_L0006", 1, None)], "region string, lead_index int, member_index int")
+    keys_of = {r.region: r.k for r in commit.chunk_keys(placed, arrays).groupBy("region").agg(F.array_sort(F.collect_list("key")).alias("k")).collect()}
+    assert keys_of["det_L0006"] == ["t/1.0.0", "t/1.0.1", "t/1.1.0", "t/1.1.1"]
+    objects = spark.createDataFrame([(k,) for v in keys_of.values() for k in v], "key string")
+    leads = lambda *x: spark.createDataFrame([(k,) for k in x], "lead_time_hours int")
+    finish = lambda o=objects: commit.finalise(spark, path, leads(0, 6), arrays, placed, o, leads(0, 6)).first()
+    assert commit.read_markers(spark, path).count() == 0 and commit.serving_token(spark, path).startswith("legacy-") and commit.protocol_version(spark, path) == "legacy"
+    commit.write_marker(spark, path, 0, None, "complete", keys_of["det_L0000"])
+    commit.write_marker(spark, path, 6, None, "updating", keys_of["det_L0006"])
+    assert finish().regions == 1
+    commit.write_marker(spark, path, 6, None, "complete", keys_of["det_L0006"][:3], keys_of["det_L0006"][3:])
+    done = finish()
+    assert (done.status, done.regions) == ("ready", 2) and commit.serving_token(spark, path) == done.fingerprint == finish().fingerprint
+    assert finish(objects.where("key <> 't/1.0.0'")).regions == 1  # written, but gone
+    assert finish(objects.where("key <> 't/1.1.1'")).regions == 2  # left out on purpose
+    commit.write_marker(spark, path, 6, None, "complete", keys_of["det_L0006"][:2])
+    assert finish().regions == 1  # not all it should write
+    commit.write_marker(spark, path, 0, None, "complete", keys_of["det_L0000"])
+    assert finish().fingerprint != done.fingerprint
+    commit.write_protocol_version(spark, path, "marker_v1")
+    assert commit.protocol_version(spark, path) == "marker_v1"
+    for text, call in (("odd", lambda: commit.protocol_version(spark, path)),):
+        store.write_object(spark, f"{path}/{commit.VERSION}", text)
+        with pytest.raises(errors.StoreMismatch):
+            call()
+    for text in ("{", "[]", "{}"):
+        store.write_object(spark, f"{path}/{commit.MANIFEST}", text)
+        with pytest.raises(errors.StoreMismatch):
+            commit.serving_token(spark, path)
+
+
+def test_requests_places_and_options(spark):
+    assert present.parse_list(" a, ,b ") == ["a", "b"] and present.parse_list(" ") is None and present.parse_model(" gfs ,") == "gfs"
+    for bad in ("", "a,b"):
+        with pytest.raises(errors.InvalidInput):
+            present.parse_model(bad)
+    with pytest.raises(errors.InvalidInput):
+        present.check_index(4, 0, 4, 4)
+    row = spark.range(1).select(
+        present.suggestion(F.lit("x"), F.lit("Main"), F.lit("Second")).alias("s"), present.coordinates_location(F.lit(38.19), F.lit(-106.82)).alias("c"),
+        present.component(F.array(F.struct(F.array(F.lit("country")).alias("types"), F.lit("").alias("long"), F.lit("US").alias("short"))), "country").alias("k"),
+        present.context(F.array(F.struct(F.lit("region.1").alias("id"), F.lit("Colorado").alias("text"))), "region").alias("t"), present.no_elevation().alias("e"), keys.value_label(F.lit(1234.5), F.lit("m")).alias("v"), keys.value_label(F.lit(15.0), F.lit("")).alias("w"),
+    ).first()
+    assert (row.s.id, row.s.latitude, row.c.name, row.k, row.t, row.e, row.v, row.w) == ("place_x", 0.0, "38.1900, -106.8200", "US", "Colorado", None, "1,234.5 m", "15")
+    assert keys.storage_identity("s3://b/k/?sig=1", "https://h:9000", True) == "s3+https://h:9000/b/k" == keys.storage_identity("s3a://b/k", "h:9000", True)
+    assert keys.storage_identity("file:///a/../b") == keys.storage_identity("/b") == "file:///b"
+    assert 0 <= keys.key60("x") < 1 << 60 and keys.key60("x", 2) >> 60 == 2 and keys.key60("x") != keys.key60("y")
+
+
+def test_choices_that_are_not_there(spark, world):
+    codes = world["variables"].select("id", "variable_code")
+    available = catalog.availability(world["runs"], world["versions"], world["models"], world["products"], codes)
+    pick = lambda *a: tuple(present.options(available, *a).first())
+    assert pick("gfs", "temperature_2m", hours(6)) == (["gfs"], ["precipitation_rate", "temperature_2m"], [hours(6), hours(0)], [0, 6])
+    assert pick("gfs", "rain") == (["gfs"], ["precipitation_rate", "temperature_2m"], [], []) and pick("x")[1:] == ([], [], []) and pick()[0] == ["gfs"]
+    assert tuple(present.defaults(available).first()) == ("gfs", "precipitation_rate", hours(6), 0)
+
+
+def test_checks_of_members_points_and_fields(spark):
+    rows = lambda *x: spark.createDataFrame(list(x), "k int, value double")
+    ensemble.check_members(rows((1, 1.0), (1, 2.0)), ["k"])
+    for bad in (rows((1, 1.0), (2, float("nan"))), rows((1, None))):
+        with pytest.raises(errors.InvalidMembers):
+            ensemble.check_members(bad, ["k"])
+    at = lambda lat: spark.createDataFrame([(lat, -107.0)], "latitude double, longitude double")
+    interp.check_inside(at(38.5), GRID)
+    with pytest.raises(errors.OutsideGrid):
+        interp.check_inside(at(40.0), GRID)
+    nodes = spark.createDataFrame([(i, j) for i in range(4) for j in range(4)], "row int, col int")
+    interp.check_shape(nodes, GRID)
+    for bad in (nodes.limit(15), nodes.unionByName(nodes.limit(1)), nodes.withColumn("row", F.col("row") + 1)):
+        with pytest.raises(errors.InvalidGrid):
+            interp.check_shape(bad, GRID)
+    with pytest.raises(errors.InvalidInput):
+        ensemble.wilson(F.lit(0.5), F.lit(3.0), 1.0)
+
+
+def test_ranges_reach_the_scan(spark, tmp_path):
+    nodes = spark.range(10_000).select((F.col("id") / 100).cast("int").alias("row"), (F.col("id") % 100).cast("int").alias("col"), F.col("id").cast("double").alias("value"))
+    nodes.write.parquet(str(tmp_path / "f"))
+    field, grid = spark.read.parquet(str(tmp_path / "f")), Grid(0.0, 0.0, 1.0, 1.0, 100, 100)
+    points = spark.createDataFrame([(1, 20.5, 30.5)], "id int, latitude double, longitude double")
+    for plan in (interp.bilinear(points, field, grid, ["id"]), tiles.render(spark, field, grid, 5, 17, 14, tiles.ramp("temperature_2m"))):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "LessThanOrEqual(row," in text
+
+
 def test_sets_of_keys(spark):
     key = lambda *v: spark.createDataFrame([(x,) for x in v], "k string")
     ingest.check_cover(key("a", "b", "c"), key("a", "b"), key("c"), "k")
@@ -206,9 +383,16 @@ def test_manifest_and_flags(spark, tmp_path):
     path.write_text(json.dumps({"runs": [dict(model="gefs", cycle_date="2026-07-21", cycle_hour=0, lead_time_hours=[0, 246], members=[1, 2]), dict(model="gfs", cycle_date="2026-07-21", cycle_hour=6, lead_time_hours=[6])]}))
     todo = runs.items(runs.read_manifest(spark, str(path)))
     named = todo.select("member", runs.file_name(*(F.col(c) for c in "model cycle_date cycle_hour lead_time_hours member".split())).alias("f")).collect()
-    assert len(named) == 5 and {r.f for r in named} >= {"gefs.20260721/00/gep01.t00z.pgrb2s.0p50.f246", "gfs.20260721/06/atmos/gfs.t06z.pgrb2.0p25.f006"}
+    assert len(named) == 5 and {r.f for r in named} >= {"gens/prod/gefs.20260721/00/atmos/pgrb2sp25/gep01.t00z.pgrb2s.0p25.f000", "gens/prod/gefs.20260721/00/atmos/pgrb2bp5/gep01.t00z.pgrb2s.0p50.f246", "gfs/prod/gfs.20260721/06/atmos/gfs.t06z.pgrb2.0p25.f006"}
     with pytest.raises(errors.InvalidInput):
         runs.read_manifest(spark, str(path), max_runs=1)
+    runs.checked_runs(todo)
+    for change in ({"member": 31}, {"member": None}, {"cycle_hour": 3}, {"lead_time_hours": 385}, {"model": "x"}):
+        bad = todo.where("model = 'gefs'").withColumns({k: F.lit(v).cast(todo.schema[k].dataType) for k, v in change.items()})
+        with pytest.raises(errors.InvalidInput):
+            runs.checked_runs(bad)
+        with pytest.raises(Exception, match="no such run"):
+            bad.select(runs.file_name(*(F.col(c) for c in "model cycle_date cycle_hour lead_time_hours member".split()))).collect()
     flags = lambda m, d, h: spark.createDataFrame([(m, d, h)], "models array<string>, dates array<string>, hours array<int>")
     assert [tuple(r) for r in runs.expand(flags(["gfs"], ["a", "b"], [0, 6])).collect()] == [("gfs", "a", 0), ("gfs", "b", 6)]
     with pytest.raises(Exception, match="unequal"):
@@ -227,12 +411,14 @@ def test_field_files(spark, tmp_path):
 def test_stream_of_regions(spark, tmp_path):
     path, folder = str(tmp_path / "store"), str(tmp_path / "in")
     store.write_generation(region(spark, 0, 1), path)
-    for lead, member in ((6, 1), (0, 2), (6, 1)):
-        region(spark, lead, member).write.mode("append").parquet(folder)
+    for lead, member, add in ((6, 1, 9.0), (0, 2, 0.0), (6, 1, 1.0)):
+        region(spark, lead, member, add).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(1.1)  # file times are in seconds on some file systems
     for _ in range(2):  # a second run has nothing to do
         patch_store(region_stream(spark, folder), path, str(tmp_path / "checkpoint")).awaitTermination()
     assert {(r.lead_time_hours, r.member) for r in store.read(spark, path).select("lead_time_hours", "member").distinct().collect()} == {(0, 1), (6, 1), (0, 2)}
     assert store.read(spark, path).count() == 48
+    assert {r.value for r in store.read(spark, path).where("lead_time_hours = 6").collect()} == {8.0}  # the last to arrive
 
 
 def test_schemas_survive_parquet(spark, tmp_path):
