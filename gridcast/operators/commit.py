@@ -26,17 +26,18 @@ def marker_key(lead: Column, member: Column) -> Column:
     return F.concat(F.lit(f"{REGIONS}/"), region_id(lead, member), F.lit(".json"))
 
 
-def chunk_keys(regions: DataFrame, arrays: DataFrame) -> DataFrame:
+def chunk_keys(regions: DataFrame, arrays: DataFrame, by_member: bool = False) -> DataFrame:
     """Objects that each region ``(region, lead_index, member_index)`` writes: ``(region, key)``.
 
-    ``arrays`` holds ``name, shape, chunks``: axes (lead, ..., latitude, longitude), of an ensemble with the member first.
-    A lead is a chunk of its own; so a region writes all chunks of space of its lead and of its member's chunk.
+    ``arrays`` holds ``name, shape, chunks``: axes (lead, latitude, longitude), of an ensemble with the member first.
+    A lead is a chunk of its own, and all members share one; so a region writes all chunks of space of its lead.
+    ``by_member`` takes the chunk in which the member really lies: two regions with a key in common can't be written at the same time.
     """
     ensemble = F.size("shape") == 4
     at = F.when(ensemble, 1).otherwise(0)
     count = lambda k: F.ceil(F.element_at("shape", at + k + 2) / F.element_at("chunks", at + k + 2)).cast("int")
     rows = regions.crossJoin(arrays).withColumns({"__lat": F.explode(F.sequence(F.lit(0), count(0) - 1))}).withColumn("__lon", F.explode(F.sequence(F.lit(0), count(1) - 1)))
-    member = F.floor(F.coalesce("member_index", F.lit(0)) / F.element_at("chunks", 1)).cast("int")
+    member = F.floor(F.coalesce("member_index", F.lit(0)) / F.element_at("chunks", 1)).cast("int") if by_member else F.lit(0)
     place = F.when(ensemble, F.format_string("%d.%d.%d.%d", member, "lead_index", "__lat", "__lon")).otherwise(F.format_string("%d.%d.%d", "lead_index", "__lat", "__lon"))
     return rows.select("region", F.concat_ws("/", "name", place).alias("key"))
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..errors import InvalidInput, StoreMismatch, UnitMismatch
 from ..functions.keys import fingerprint, region_id
@@ -76,12 +78,15 @@ def check_lead(df: DataFrame, lead: int) -> None:
 
 
 def check_identity(store: DataFrame, new: DataFrame) -> None:
-    """New data must be of the store's model and cycle and on its nodes."""
+    """New data must be of the store's model and cycle and have its axes and variables; members and leads may be others."""
     if store.isEmpty():
         return
-    for columns, what in ((["model_id", "cycle_time"], "run"), (["row", "col", "latitude", "longitude"], "grid")):
-        if not new.select(*columns).distinct().exceptAll(store.select(*columns).distinct()).isEmpty():
-            raise StoreMismatch(f"data of another {what}")
+    if not new.select("model_id", "cycle_time").distinct().exceptAll(store.select("model_id", "cycle_time").distinct()).isEmpty():
+        raise StoreMismatch("data of another run")
+    for axis in (["row", "latitude"], ["col", "longitude"], ["variable_code"]):
+        a, b = store.select(*axis).distinct(), new.select(*axis).distinct()
+        if not (a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()):
+            raise StoreMismatch(f"another {axis[-1]}")
 
 
 def merge_leads(existing: DataFrame, new: DataFrame) -> DataFrame:
@@ -147,3 +152,29 @@ def check_cover(expected: DataFrame, materialised: DataFrame, omitted: DataFrame
     union = materialised.select(key).union(omitted.select(key)).distinct()
     if not (union.exceptAll(expected.select(key).distinct()).isEmpty() and expected.select(key).distinct().exceptAll(union).isEmpty()):
         raise StoreMismatch("the keys are not those expected")
+
+
+def run_batch(runs: DataFrame, one: Callable[[Row], None], dry_run: bool = False) -> tuple[DataFrame, int]:
+    """Ingests runs one after the other; a run that fails leaves the others alone.
+
+    Gives ``(*runs, status, reason)``, where the status is ``planned``, ``ingested`` or ``failed``, and the
+    exit code, 1 if any failed.  The specifications are collected: a batch has few (see ``limited``).
+    """
+    rows = []
+    for run in runs.collect():
+        status, reason = "planned", None
+        if not dry_run:
+            try:
+                one(run)
+                status = "ingested"
+            except Exception as e:  # noqa: BLE001 - whatever it is, the other runs go on
+                status, reason = "failed", f"{type(e).__name__}: {e}"
+        rows.append((*run, status, reason))
+    schema = StructType([*runs.schema.fields, StructField("status", StringType()), StructField("reason", StringType())])
+    return runs.sparkSession.createDataFrame(rows, schema), int(any(r[-2] == "failed" for r in rows))
+
+
+def fallbacks(requests: DataFrame, reason: str, seconds: int) -> DataFrame:
+    """Audit rows of answers that didn't come from the cache: ``requests(cache_key, query_params)`` with times and the reason."""
+    now = F.current_timestamp()
+    return requests.select("cache_key", "query_params", now.alias("created_at"), (now + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds))).alias("expires_at"), F.lit(reason).alias("fallback_reason"))

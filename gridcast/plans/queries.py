@@ -608,12 +608,24 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", runs.file_name(model, F.col("l_shipdate"), hour, lead, member).alias("file"), runs.staged_name(model, hour, lead, member).alias("staged"))
 
 
-@query("""SELECT format('det_L{:04d}', CAST(o_orderkey % 50 AS INTEGER)) AS region, unnest(['a/' || (o_orderkey % 50) || '.0.0', 'a/' || (o_orderkey % 50) || '.0.1', 'a/' || (o_orderkey % 50) || '.1.0', 'a/' || (o_orderkey % 50) || '.1.1', 'b/' || (o_custkey % 30 // 10) || '.' || (o_orderkey % 50) || '.0.0']) AS key FROM orders WHERE o_orderkey < 400""")
-def region_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+_CHUNKS = """SELECT format('det_L{:04d}', CAST(o_orderkey % 50 AS INTEGER)) AS region, unnest(['a/' || (o_orderkey % 50) || '.0.0', 'a/' || (o_orderkey % 50) || '.0.1', 'a/' || (o_orderkey % 50) || '.1.0', 'a/' || (o_orderkey % 50) || '.1.1', 'b/' || MEMBER || '.' || (o_orderkey % 50) || '.0.0']) AS key FROM orders WHERE o_orderkey < 400"""
+
+
+def _chunks(spark: SparkSession, sf_dir: str, by_member: bool) -> DataFrame:
     lead = (F.col("o_orderkey") % 50).cast("int")
     regions = _t(spark, sf_dir, "orders").where("o_orderkey < 400").select(keys.region_id(lead).alias("region"), lead.alias("lead_index"), (F.col("o_custkey") % 30).cast("int").alias("member_index"))
     arrays = spark.createDataFrame([("a", [50, 100, 200], [1, 64, 128]), ("b", [30, 50, 100, 200], [10, 1, 100, 200])], "name string, shape array<int>, chunks array<int>")
-    return commit.chunk_keys(regions, arrays)
+    return commit.chunk_keys(regions, arrays, by_member)
+
+
+@query(_CHUNKS.replace("MEMBER", "'0'"))
+def region_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunks(spark, sf_dir, False)
+
+
+@query(_CHUNKS.replace("MEMBER", "(o_custkey % 30 // 10)"))
+def region_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunks(spark, sf_dir, True)
 
 
 @query(f"""WITH r AS ({_RUNS}) SELECT id FROM r WHERE EXISTS (SELECT 1 FROM orders WHERE CAST(o_custkey AS VARCHAR) = id AND o_orderpriority = '1-URGENT' AND o_orderkey % 9 * 6 = 12)""")

@@ -191,6 +191,9 @@ def test_generations_patches_and_readiness(spark, tmp_path):
     ingest.check_identity(now, region(spark, 12, 1))
     with pytest.raises(errors.StoreMismatch):
         ingest.check_identity(now, region(spark, 12, 1, cycle=hours(6)))
+    for odd in (region(spark, 12, 1).where("row > 0"), region(spark, 12, 1).withColumn("longitude", F.col("longitude") + 1)):
+        with pytest.raises(errors.StoreMismatch):
+            ingest.check_identity(now, odd)
     ingest.check_lead(region(spark, 12, 1), 12)
     with pytest.raises(errors.StoreMismatch):
         ingest.check_lead(region(spark, 12, 1), 6)
@@ -243,20 +246,23 @@ def record_of(**change):
 
 
 def test_recording_a_run(spark):
+    def kept(tables, *args):  # as if the catalog had been written and read again
+        return {t: spark.createDataFrame(df.toArrow(), df.schema) for t, df in record.record_run(tables, *args).items()}
+
     pairs = lambda *p: spark.createDataFrame(list(p), "member int, lead_time_hours int")
     run = record_of()
     status = lambda c: c["model_runs"].first().status
-    part = record.record_run(record.empty(spark), run, pairs((1, 0), (1, 6), (2, 0)))
+    part = kept(record.empty(spark), run, pairs((1, 0), (1, 6), (2, 0)))
     assert status(part) == "partial" and part["forecast_products"].count() == 2 and part["ensemble_member_products"].count() == 3
-    whole = record.record_run(part, run, pairs((1, 0), (1, 6), (2, 0), (2, 6)))
-    again = record.record_run(whole, run, pairs((1, 0), (1, 6), (2, 0), (2, 6)))
-    assert status(whole) == "ready" and all(catalog.same_rows(whole[t], again[t]) for t in whole)
-    surplus = record.record_run(whole, run, pairs((1, 0), (1, 6), (2, 0), (2, 6), (3, 0)))
+    whole = kept(part, run, pairs((1, 0), (1, 6), (2, 0), (2, 6)))
+    again = kept(whole, run, pairs((1, 0), (1, 6), (2, 0), (2, 6)))
+    assert status(whole) == "ready" and all(sorted(whole[t].collect()) == sorted(again[t].collect()) for t in whole if t != "forecast_centers") and len(again) == 9
+    surplus = kept(whole, run, pairs((1, 0), (1, 6), (2, 0), (2, 6), (3, 0)))
     assert status(surplus) == "partial"  # a pair that nobody expects
-    shrunk = record.record_run(whole, run, pairs((1, 0), (2, 0)))
+    shrunk = kept(whole, run, pairs((1, 0), (2, 0)))
     assert status(shrunk) == "partial" and shrunk["forecast_products"].count() == 1 and shrunk["ensemble_member_products"].count() == 2
-    assert status(record.record_run(record.empty(spark), run, pairs((1, 0)).limit(0))) == "processing"
-    more = record.record_run(record.empty(spark), record_of(ensemble=False, expected_leads=[0]), pairs((None, 0), (None, 6)))
+    assert status(kept(record.empty(spark), run, pairs((1, 0)).limit(0))) == "processing"
+    more = kept(record.empty(spark), record_of(ensemble=False, expected_leads=[0]), pairs((None, 0), (None, 6)))
     assert status(more) == "ready"  # further leads do no harm
     assert record.check_available(whole, "gefs", "temperature_2m", "surface", 6) == run.run_id
     for wrong, kind in ((("gfs", "temperature_2m", "surface", 6), errors.NotFound), (("gefs", "rain", "surface", 6), errors.NotFound), (("gefs", "temperature_2m", "surface", 9), errors.NotFound), (("gefs", "temperature_2m", "500", 6), errors.InvalidInput)):
@@ -270,6 +276,20 @@ def test_recording_a_run(spark):
     assert record.legend_unit(whole["forecast_variables"], "temperature_2m") == "°C"
 
 
+def test_a_batch_goes_on_after_a_failure(spark):
+    def one(run):
+        if run.hour == 6:
+            raise errors.StoreMismatch("odd")
+
+    specs = spark.createDataFrame([("gfs", 0), ("gfs", 6), ("gfs", 12)], "model string, hour int")
+    out, code = ingest.run_batch(specs, one)
+    assert code == 1 and [(r.hour, r.status, r.reason) for r in out.orderBy("hour").collect()] == [(0, "ingested", None), (6, "failed", "StoreMismatch: odd"), (12, "ingested", None)]
+    out, code = ingest.run_batch(specs, one, dry_run=True)
+    assert code == 0 and {r.status for r in out.collect()} == {"planned"}
+    row = ingest.fallbacks(spark.createDataFrame([("k", "{}")], "cache_key string, query_params string"), "cache_down", 300).first()
+    assert row.fallback_reason == "cache_down" and (row.expires_at - row.created_at).total_seconds() == 300
+
+
 def test_stale_catalog_is_not_ready(spark):
     rows = lambda *x: spark.createDataFrame([("r", k) for k in x], "run_id string, lead_time_hours int")
     state = lambda e, r, s: ingest.run_readiness(rows(*e), rows(*r) if r else rows(0).limit(0), rows(*s) if s else None).first().status
