@@ -348,7 +348,7 @@ def near_edges(sketches: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFra
     bits, tables = shape(documents)
     route = max(2, bits - 32, (documents // PER_ROUTE).bit_length())
     entries = documents * tables * (1 + route)
-    parts = max(int(known.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(tables << route, entries // PER_ROUTE))
+    parts = max(int(known.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(tables << route, entries >> 18))  # 4 MB each, if routes are so small
     blocks = known.mapInArrow(_emit(route, bits, tables), "route long, base long, whole int, entries binary")
     met = blocks.repartition(parts, "route").sortWithinPartitions("route").mapInArrow(_meet(bits - route), "bucket long, ref long")
     members = met.distinct().join(known, "ref").select("bucket", "node", "bits")
