@@ -30,6 +30,8 @@ PENALTY = 2.0
 GAIN = 1e-4
 #: A document with more of its text outside all languages is rejected.  In a short one an address or a number may be half of it.
 MAX_UND = 0.7
+#: It must also be likelier by so many nats (natural logarithm) to be in no language than in any one; three random identifiers amount to this.
+EVIDENCE = 200.0
 UND = "und"
 #: Labels that a task counts at a time.
 TABLES = 200
@@ -187,6 +189,13 @@ def mixtures(like: np.ndarray, row: np.ndarray, rows: int, penalty: float = PENA
     return share, score
 
 
+def advantage(like: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """By how much the log likelihood of each row in no language exceeds that in the best one."""
+    whole = np.zeros((rows, like.shape[1]))
+    np.add.at(whole, row, like)
+    return whole[:, -1] - whole[:, :-1].max(1, initial=-np.inf)
+
+
 def _score(names: list[str], model: np.ndarray, max_und: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,6 +210,7 @@ def _score(names: list[str], model: np.ndarray, max_und: float) -> Callable:
                     languages.append([names[k] for k in order])
                     shares.append([round(float(line[k]), 6) for k in order])
                 und = np.where(count > 0, share[:, -1], 1.0)
+                keep = (count > 0) & ~((und > max_und) & (advantage(like, row, b - a) >= EVIDENCE))
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(batch.column(k).slice(a, b - a) for k in range(batch.num_columns) if batch.schema.field(k).name != "text"),
@@ -208,7 +218,7 @@ def _score(names: list[str], model: np.ndarray, max_und: float) -> Callable:
                         pa.array(shares, pa.list_(pa.float64())),
                         pa.array(np.round(und, 6)),
                         pa.array(count),
-                        pa.array(und <= max_und),
+                        pa.array(keep),
                     ],
                     [*(n for n in batch.schema.names if n != "text"), "languages", "shares", "und_share", "trigrams", "keep"],
                 )
@@ -220,8 +230,8 @@ def language_mixtures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Languages of each document: ``(doc_id, languages, shares, und_share, trigrams, keep)``, a row for each row of docs.
 
     ``languages`` holds the chosen set by falling share (ties by name), ``shares`` their
-    proportions of the text; ``und_share`` is the rest.  ``keep`` is whether
-    ``und_share`` is at most ``max_und``.
+    proportions of the text; ``und_share`` is the rest.  ``keep`` is false where ``und_share`` exceeds
+    ``max_und`` and the text is likelier to be in no language than in any one by ``EVIDENCE``.
 
     Null, empty and letterless texts have no trigram: no language,
     ``und_share`` 1 and ``keep`` false.  If no document is labelled, no text

@@ -91,3 +91,11 @@ def test_trigrams_stay_in_their_row():
     bucket, row = lang.trigrams(pa.array(["Ab1c", "", None, "xyz"]))
     same, _ = lang.trigrams(pa.array(["ab!!!c"]))
     assert bucket[row == 0].tolist() == same.tolist() and not (row == 1).any() and (row == 3).sum() == 1
+
+
+def test_an_address_in_a_short_text_is_no_reason_to_reject(spark, corpus):
+    train, rnd = corpus
+    short = [(5000 + k, f"{text(rnd, 'aa', 4)} xqzjwv{k}@wqxzj.example 4601274238375394", None) for k in range(30)]
+    odd = [(6000 + k, " ".join("".join(rnd.choice("fghjklmwxyz") for _ in range(6)) for _ in range(9)), None) for k in range(30)]
+    kept = {r.doc_id for r in lang.drop_rejected(spark.createDataFrame(train + short + odd, "doc_id long, text string, lang string")).collect()}
+    assert {d for d, _, _ in train + short} <= kept and not {d for d, _, _ in odd} & kept
