@@ -89,6 +89,12 @@ def missing(wanted: DataFrame, present: DataFrame, keys: Sequence[str]) -> DataF
     return wanted.join(present.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def unknown(codes: Sequence[str], table: DataFrame, key: str) -> list[str]:
+    """Of a request's codes those that the table lacks, in the order of the request."""
+    asked = table.sparkSession.createDataFrame(list(enumerate(codes)), f"place int, {key} string")
+    return [r[0] for r in asked.join(table.select(key), key, "left_anti").orderBy("place").select(key).collect()]
+
+
 def known(wanted: DataFrame, present: DataFrame, keys: Sequence[str]) -> DataFrame:
     return wanted.join(present.select(*keys), list(keys), "left_semi")
 

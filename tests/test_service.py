@@ -350,6 +350,7 @@ def test_requests_places_and_options(spark):
 
 
 def test_choices_that_are_not_there(spark, world):
+    assert catalog.unknown(["z", "temperature_2m", "a", "z"], world["variables"], "variable_code") == ["z", "a", "z"]
     codes = world["variables"].select("id", "variable_code")
     available = catalog.availability(world["runs"], world["versions"], world["models"], world["products"], codes)
     pick = lambda *a: tuple(present.options(available, *a).first())
