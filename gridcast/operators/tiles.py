@@ -140,14 +140,15 @@ def images(asked: DataFrame, field: DataFrame, grid: Grid, colours: Ramp, value:
     def draw(group: pd.DataFrame) -> pd.DataFrame:
         z, x, y = (int(group[k].iloc[0]) for k in ("z", "x", "y"))
         row, col = _nodes(z, x, y, grid)
-        values = np.full((SIZE, SIZE), np.nan)
+        canvas = np.zeros((SIZE, SIZE), np.uint32)
         for br, bc, at, v in group[["br", "bc", "at", "v"]].itertuples(index=False):
-            if at is not None and br >= 0:
+            if at is not None and br >= 0:  # nodes are painted, pixels only look them up
                 block = np.full(BLOCK * BLOCK, np.nan)
                 block[np.asarray(at)] = np.asarray(v, float)
+                paint = _painted(block, colours).view(np.uint32).reshape(BLOCK, BLOCK)
                 rows, cols = np.flatnonzero(row // BLOCK == br), np.flatnonzero(col // BLOCK == bc)
-                values[np.ix_(rows, cols)] = block[(row[rows] % BLOCK)[:, None] * BLOCK + col[cols] % BLOCK]
-        return pd.DataFrame({"z": [z], "x": [x], "y": [y], "png": [encode(_painted(values, colours))]})
+                canvas[np.ix_(rows, cols)] = paint[np.ix_(row[rows] % BLOCK, col[cols] % BLOCK)]
+        return pd.DataFrame({"z": [z], "x": [x], "y": [y], "png": [encode(canvas.view(np.uint8).reshape(SIZE, SIZE, 4))]})
 
     return met.groupBy("z", "x", "y").applyInPandas(draw, "z int, x int, y int, png binary")
 
